@@ -99,6 +99,22 @@ def _encode_words(vocabulary: str, pattern: str):
     return run
 
 
+def _measure_words(vocabulary: str, pattern: str):
+    """As _encode_words, with the number of ids in their place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _encode_words(vocabulary, pattern)(batches):
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("code"), b.column("ids").value_lengths()], ["block", "code", "n"])
+
+    return run
+
+
+def _add_up(texts: pa.Table, words: pa.Table) -> pa.Table:
+    n = words.combine_chunks().sort_by("code").column("n").to_numpy()
+    total = [int(n[c].sum()) if c else 0 for c in texts.column("codes").to_pylist()]
+    return pa.table({"doc_id": texts.column("doc_id"), "tokens": pa.array(total, pa.int64())})
+
+
 def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
     texts, words = texts.combine_chunks(), words.combine_chunks().sort_by("code")
 
@@ -121,16 +137,28 @@ def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"doc_id": texts.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids[at].astype(np.int32)))})
 
 
-def encoded(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids) of every row of documents."""
+def _pieces(documents: DataFrame, pattern: str, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """((block, doc_id, codes), the distinct words of each block: (block, code, word), gathered by word)."""
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     blocks = written(rows.mapInArrow(_cut(pattern), _BLOCKS), "pretokens")
-    texts = blocks.where("words is null").select("block", "doc_id", "codes")
     words = blocks.where("words is not null").select("block", F.posexplode("words").alias("code", "word"))
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(vocabulary, pattern), "block long, code int, ids array<int>")
+    return blocks.where("words is null").select("block", "doc_id", "codes"), words.repartition("word").sortWithinPartitions("word")
+
+
+def encoded(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids) of every row of documents."""
+    texts, words = _pieces(documents, pattern, id_column, text)
+    ids = words.mapInArrow(_encode_words(vocabulary, pattern), "block long, code int, ids array<int>")
     return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
+def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, tokens) of every row of documents, without moving the ids themselves."""
+    texts, words = _pieces(documents, pattern, id_column, text)
+    n = words.mapInArrow(_measure_words(vocabulary, pattern), "block long, code int, n int")
+    return texts.groupBy("block").cogroup(n.groupBy("block")).applyInArrow(_add_up, "doc_id long, tokens long")
+
+
 def token_bytes(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, bytes): a row for each token of the vocabulary."""
     lines = spark.read.text(vocabulary).select(F.split("value", " ").alias("p")).where("size(p) = 2")
