@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators.corpus import readable, tokens
+from foliant.operators.numbering import numbered_within
 from foliant.operators.resample import draw
 
 
@@ -14,7 +15,7 @@ def family_occurrences(lines: DataFrame) -> DataFrame:
     family in reading order (record, token)."""
     t = tokens(lines).where(readable(F.col("glyphs")) & (F.size("glyphs") > 1))
     rows = t.select(F.array_join(F.slice("glyphs", 1, F.size("glyphs") - 1), "\x1f").alias("base"), F.element_at("glyphs", -1).alias("suffix"), "record_id", "token_index")
-    return rows.select("base", "suffix", F.expr("row_number() over (partition by base order by record_id, token_index) - 1").alias("occurrence"))
+    return numbered_within(rows, "base", ("record_id", "token_index"), "occurrence").select("base", "suffix", "occurrence")
 
 
 def lag_rates(occurrences: DataFrame, most: int, least: int = 2) -> DataFrame:
