@@ -36,27 +36,30 @@ def split_delimited(line: Column) -> tuple[Column, Column]:
     """(the line's quoting holds, its fields). A field is quoted only if it begins with a quote, a doubled
     quote stands for one, and line breaks may stand anywhere. Linear in the line's length: the line is cut at
     its quotes, which makes every second piece the inside of a quoted field, or, where empty, a doubled quote."""
-    pieces = F.split(line, '"', -1)
-    n = F.size(pieces)
-    outer = F.filter(pieces, lambda x, i: i % 2 == 0)
-    last = F.size(outer) - 1
-    fits = F.forall(
-        F.transform(
-            outer,
-            lambda x, i: ((i == 0) & ((x == "") | x.endswith(",") | (last == 0)))
-            | ((i > 0) & (i == last) & ((x == "") | x.startswith(",")))
-            | ((i > 0) & (i < last) & ((x == "") | (x.startswith(",") & x.endswith(",")))),
-        ),
-        lambda x: x,
-    )
+    def shape(pieces: Column) -> Column:
+        # after each step in a lambda only what is bound before it is used: nothing is computed again per piece
+        def each(x: Column, i: Column, n: Column) -> Column:
+            inner, last = i % 2 == 1, i == n - 1
+            return inner | ((x == "") | F.when(i == 0, last | x.endswith(",")).when(last, x.startswith(",")).otherwise(x.startswith(",") & x.endswith(",")))
+
+        return _let(F.size(pieces), lambda n: (n % 2 == 1) & F.forall(F.transform(pieces, lambda x, i: each(x, i, n)), lambda ok: ok))
+
+    def cells(pieces: Column) -> Column:
+        def each(x: Column, i: Column, n: Column) -> Column:
+            doubled = (x == "") & (i > 0) & (i < n - 1)
+            return F.when(i % 2 == 1, x).when(doubled, F.lit('"')).otherwise(F.regexp_replace(x, ",", "\u0001s"))
+
+        marked = _let(F.size(pieces), lambda n: F.transform(pieces, lambda x, i: each(x, i, n)))
+        return F.transform(F.split(F.array_join(marked, ""), "\u0001s", -1), lambda x: F.regexp_replace(x, "\u0001e", "\u0001"))
+
     # U+0001 marks the separators; one that the line itself holds is escaped first
-    escaped = F.split(F.regexp_replace(line, "\u0001", "\u0001e"), '"', -1)
-    marked = F.transform(
-        escaped,
-        lambda x, i: F.when(i % 2 == 1, x).when((x == "") & (i > 0) & (i < F.size(escaped) - 1), F.lit('"')).otherwise(F.regexp_replace(x, ",", "\u0001s")),
-    )
-    fields = F.transform(F.split(F.array_join(marked, ""), "\u0001s", -1), lambda x: F.regexp_replace(x, "\u0001e", "\u0001"))
-    return (n % 2 == 1) & fits, fields
+    pieces = F.split(F.regexp_replace(line, "\u0001", "\u0001e"), '"', -1)
+    return _let(pieces, shape), _let(pieces, cells)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 @dataclass(frozen=True)

@@ -189,3 +189,51 @@ def leaf_percentiles(spark, sf):
 select physical_leaf, tokens, round(m, 6) as others_mean, round(sqrt(greatest(q - m * m, 0)), 6) as others_sd, round(case when sqrt(greatest(q - m * m, 0)) > 1e-9 then (tokens - m) / sqrt(greatest(q - m * m, 0)) end, 6) as z from m""")
 def leaf_anomalies(spark, sf):
     return R.against_others(_features(spark, sf).select("physical_leaf", "tokens"), "physical_leaf", "tokens")
+
+
+def _model_scores(spark, sf, make):
+    from foliant.operators import sequence_models as Z
+
+    train, test = parts(spark, sf)
+    model = make(Z, Z.vocabulary(train))
+    model.fit(Z.distinct_sequences(train.select("symbols")))
+    return N.corpus_rollup(Z.unit_bits(test, "unit", model.bits), "unit")
+
+
+@query()
+def hidden_markov_score(spark, sf):
+    """Held-out leaves under a hidden Markov model of four states."""
+    return _model_scores(spark, sf, lambda Z, v: Z.HiddenMarkov(4, v))
+
+
+@query()
+def slot_grammar_score(spark, sf):
+    """Held-out tokens under a slot grammar of four templates."""
+    from foliant.operators import sequence_models as Z
+
+    t = C.tokens(lines(spark, sf).withColumn("unit", N.leaf_group(F.col("physical_leaf"))), "unit", "physical_leaf").where(C.readable(F.col("glyphs"))).withColumnRenamed("glyphs", "symbols")
+    held = F.coalesce(F.col("physical_leaf") % 5 == 0, F.lit(False))
+    model = Z.SlotGrammar(4, 6, Z.vocabulary(t.where(~held)))
+    model.fit(Z.distinct_sequences(t.where(~held).select("symbols")))
+    return N.corpus_rollup(Z.unit_bits(t.where(held), "unit", model.bits), "unit")
+
+
+@query()
+def copy_edit_score(spark, sf):
+    """Held-out tokens under a model of edited copies of the last four tokens: bits per event and copies' share."""
+    from foliant.operators import sequence_models as Z
+
+    t = C.tokens(lines(spark, sf), "physical_leaf").where(C.readable(F.col("glyphs")))
+    t = Z.copy_sources(t, 4).withColumn("held", F.coalesce(F.col("physical_leaf") % 5 == 0, F.lit(False)))
+    model = Z.CopyEdit(Z.vocabulary(t.where("not held").select(F.col("glyphs").alias("symbols"))))
+    model.fit(t.where("not held").select("glyphs", "history"))
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            s = [model.score(list(g), [list(x) for x in h]) for g, h in zip(b["glyphs"], b["history"])]
+            yield pd.DataFrame({"bits": [x[0] for x in s], "copy": [x[1] for x in s], "events": [len(g) + 1 for g in b["glyphs"]]})
+
+    scored = t.where("held").select("glyphs", "history").mapInPandas(run, "bits double, copy double, events long")
+    return scored.agg(F.count("*").alias("tokens"), F.round(F.sum("bits") / F.sum("events"), 6).alias("bits_per_event"), F.round(F.avg("copy"), 6).alias("copy_share"))

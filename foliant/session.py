@@ -17,6 +17,8 @@ _SETTINGS = {
     "spark.ui.showConsoleProgress": "false",
 }
 _written: dict[str, SparkSession] = {}
+#: The temporary folder of each local application that names none.
+_own: dict[str, str] = {}
 
 
 def get_session(master: str = "local[8]", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -41,9 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="foliant-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        _written[at] = spark
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="foliant-")
+            _written[_own[app]] = spark
+        at = _own[app]
     return at.rstrip("/")
 
 

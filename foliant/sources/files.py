@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CONTROL_SCHEMA = "line_index long, split string, tokens array<array<string>>, reserved_test_opaque boolean"
 
@@ -24,13 +25,13 @@ def read_control_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_selected_lines(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """(line_index, text) of the wanted line_index only; other lines are never parsed."""
-    files = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line_index", "text"))
+    files = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_index", "text"))
     return files.join(wanted.select("line_index").distinct(), "line_index", "left_semi")
 
 
 def read_conllu(spark: SparkSession, path: str) -> DataFrame:
     """(file, sentence, forms): words of CoNLL-U; ranges and empty nodes skipped, a blank line ends a sentence."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     blocks = files.select("file", F.posexplode(F.split("value", r"\n\s*\n")).alias("sentence", "block"))
     rows = F.filter(F.transform(F.split("block", "\r?\n"), lambda x: F.split(x, "\t")), lambda p: F.get(p, F.lit(0)).rlike(r"^\d+$"))
     return blocks.select("file", "sentence", F.transform(rows, lambda p: F.get(p, F.lit(1))).alias("forms")).where("size(forms) > 0")
@@ -82,7 +83,7 @@ class _Text(html.parser.HTMLParser):
             self.out.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text(pages: pd.Series) -> pd.Series:
     """The running text of pages: a line a block, blanks squeezed; null stays null."""
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 #: The most rules that conversion folds into one expression.
 MOST_RULES = 2_000
-_FIRST_PRIVATE = 0xE000
+_FIRST_PRIVATE, _GAP = 0xE000, chr(0xF8FF)
 _CODE = r"[A-Z][1-9a-z]"
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """(target, source, ord) of a two-column rule file: comments and blank lines skipped, other shapes refused."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n", -1)).alias("ord", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n", -1)).alias("ord", "line"))
     own = lines.where((F.col("ord") > 0) & (F.trim("line") != "") & ~F.trim("line").startswith("#") & ~F.contains("line", F.lit("(comment)"))).select("ord", F.split(F.trim("line"), r"\s+").alias("p"))
     ok = (F.size("p") == 2) & F.get("p", F.lit(0)).rlike(rf"^(?:{_CODE})+$")
     checked = own.select("ord", F.when(ok, F.col("p")).otherwise(F.raise_error(F.concat(F.lit("not a rule: "), F.array_join("p", " ")))).alias("p"))
@@ -37,13 +37,14 @@ def first_alternatives(text: Column, depth: int = 4) -> Column:
 def converted(text: Column, rules: list[tuple[str, str]]) -> Column:
     """Native text as glyph codes: each rule replaces wherever it can, in order, and what it wrote is not read again
     (it stands as a private character until the end). '<…>' is left out; null where text stays unconverted."""
-    t = F.regexp_replace(text, "<[^>]*>", "")
+    # what stands on the two sides of a '<…>' is not read together
+    t = F.regexp_replace(text, "<[^>]*>", _GAP)
     for i, (source, _) in enumerate(rules):
         t = F.replace(t, F.lit(source), F.lit(chr(_FIRST_PRIVATE + i)))
     whole = ~t.rlike(r"[^\x{E000}-\x{F8FF}.,\[\]: \t\r\n]")
     for i, (_, target) in enumerate(rules):
         t = F.replace(t, F.lit(chr(_FIRST_PRIVATE + i)), F.lit(target))
-    return F.when(whole, t)
+    return F.when(whole, F.regexp_replace(t, _GAP, ""))
 
 
 def glyph_tokens(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -63,5 +64,5 @@ def semantic_count(text: Column, rules: list[tuple[str, str]]) -> Column:
     """Glyphs where '???' is one unknown run, '??' two unknown glyphs; null beyond three or where unconverted."""
     t = first_alternatives(text)
     runs = F.regexp_extract_all(t, F.lit(r"(\?+)"), 1)
-    rest = converted(F.regexp_replace(t, r"(?<!\?)\?{3}(?!\?)", ""), rules)
+    rest = converted(F.regexp_replace(t, r"(?<!\?)\?{3}(?!\?)", "<>"), rules)
     return F.when(~F.exists(runs, lambda r: F.length(r) > 3), glyph_count(rest) + F.size(F.filter(runs, lambda r: F.length(r) == 3)))

@@ -27,7 +27,7 @@ def _some(c: Column) -> Column:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, n, text) of whole text files."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", "\r?\n", -1)).alias("i", "text")).select("file", (F.col("i") + 1).alias("n"), "text")
 
 
