@@ -9,6 +9,10 @@ probes with its n // 9 + 1 disjoint n-grams only, and those are chosen to be the
 n-grams out of the join wherever a record has others; the index holds every n-gram of every evaluation record.
 No pair is lost: records shorter than the least length are no case, and every longer one has enough n-grams.
 
+A table of fixed size holds the frequencies of the index' n-grams: it chooses the probes and drops those that hit
+nothing. N-grams meet by a 32-bit hash, since a false hit ends in the join's checks. Every entry carries a 128-bit mark of its text's character pairs; one edit changes at most four
+of its bits, so most pairs that share an n-gram by chance end in the join itself.
+
 Copies of one text are one entry of the join; their pairs come out where the records are joined back.
 
 Defined cases: null, empty and short texts take no part; records of unknown pages or splits take no part;
@@ -32,8 +36,8 @@ from foliant.session import written
 #: characters from MIN_LENGTH on.
 GRAM = 7
 MIN_LENGTH = 40
-#: Log2 of the slots of the table of n-gram frequencies, which takes 4 MB whatever the input.
-SKETCH_BITS = 20
+#: Log2 of the slots of the table of n-gram frequencies, which takes 1 MB whatever the input.
+SKETCH_BITS = 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,36 +69,58 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes at every position of the batch's text, start of each text, its length)."""
+def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes at every position of the batch's text, start of each text, its length, code points)."""
     texts = batch.column("text").to_pylist()
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = np.fromiter(map(len, texts), np.int64, len(texts))
-    return _grams(codes), np.cumsum(n) - n, n
+    return _grams(codes), np.cumsum(n) - n, n, codes
+
+
+def _marks(codes: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of 128 classes of character pairs each text holds, as two words of bits."""
+    text = np.repeat(np.arange(len(n)), np.maximum(n - 1, 0))
+    at = np.repeat(start, np.maximum(n - 1, 0)) + np.arange(len(text)) - np.repeat(np.cumsum(np.maximum(n - 1, 0)) - np.maximum(n - 1, 0), np.maximum(n - 1, 0))
+    pair = ((codes[at] * np.uint64(0x10001) + codes[at + 1]) * _MIX) >> np.uint64(57)
+    held = np.zeros((len(n), 128), bool)
+    held[text, pair.astype(np.int64)] = True
+    words = np.packbits(held, axis=1).view(np.int64)
+    return words[:, 0], words[:, 1]
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(side: str, g: np.ndarray, ids: np.ndarray, pos: np.ndarray, n: np.ndarray, marks: tuple[np.ndarray, np.ndarray], text: np.ndarray) -> pa.RecordBatch:
+    """Entries of n-grams g at pos of the texts numbered `text`; place holds the position and the text's length."""
+    place = (pos.astype(np.int64) << 32) | n[text]
+    columns = [(g >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[text], place, marks[0][text], marks[1][text]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", *[f"{side}_{c}" for c in ("id", "place", "m0", "m1")]])
+
+
+def _every(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how many n-grams each text has, the position in its text of each)."""
+    many = np.maximum(n - GRAM + 1, 0)
+    return many, np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every n-gram of each text."""
     for b in batches:
         if b.num_rows:
-            h, start, n = _texts(b)
-            many = np.maximum(n - GRAM + 1, 0)
-            pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            at = np.repeat(start, many) + pos
-            ids = np.repeat(b.column("text_id").to_numpy(), many)
-            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids), pa.array(pos.astype(np.int32)), pa.array(np.repeat(n, many).astype(np.int32))], ["gram", "eval_id", "eval_pos", "eval_len"])
+            h, start, n, codes = _texts(b)
+            many, pos = _every(start, n)
+            text = np.repeat(np.arange(len(n)), many)
+            yield _rows("eval", h[start[text] + pos], b.column("text_id").to_numpy(), pos, n, _marks(codes, start, n), text)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     for b in batches:
         if b.num_rows:
-            h, start, n = _texts(b)
-            many = np.maximum(n - GRAM + 1, 0)
-            pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            h, start, n, _ = _texts(b)
+            many, pos = _every(start, n)
             total += np.bincount(_slot(h[np.repeat(start, many) + pos]), minlength=1 << SKETCH_BITS)
     slot = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
@@ -131,8 +157,8 @@ def _probes(counts: np.ndarray):
         for b in batches:
             if not b.num_rows:
                 continue
-            h, start, n = _texts(b)
-            ids = b.column("text_id").to_numpy()
+            h, start, n, codes = _texts(b)
+            ids, marks = b.column("text_id").to_numpy(), _marks(codes, start, n)
             for length in np.unique(n):
                 # long texts go in smaller groups: the tables take picks x length x rows
                 own = np.flatnonzero(n == length)
@@ -140,31 +166,34 @@ def _probes(counts: np.ndarray):
                 step = max(1, 4_000_000 // (picks * width))
                 for some in np.split(own, range(step, len(own), step)):
                     if picks * width > 4_000_000:  # one text alone is too long for a table: evenly spaced picks
-                        starts = (np.arange(picks) * (length // picks))[None, :]
+                        starts = np.tile(np.arange(picks) * (length // picks), (len(some), 1))
                     else:
                         starts = _rarest(cost_of[_slot(h[start[some][:, None] + np.arange(width)])], picks)
-                    at = start[some][:, None] + starts
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[at].ravel().view(np.int64)), pa.array(np.repeat(ids[some], picks)), pa.array(starts.ravel().astype(np.int32)), pa.array(np.full(starts.size, length, np.int32))],
-                        ["gram", "train_id", "train_pos", "train_len"],
-                    )
+                    g = h[start[some][:, None] + starts].ravel()
+                    hits = np.flatnonzero(counts[_slot(g)])  # where the table is empty, so is the index
+                    yield _rows("train", g[hits], ids, starts.ravel()[hits], n, marks, np.repeat(some, picks)[hits])
 
     return run
 
 
 def near_pairs(train: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """(train_id, eval_id, edits) of all pairs of texts (text_id, text) of MIN_LENGTH or more characters whose
-    edit distance is at most a tenth of the longer one's length."""
+    """(train_id, eval_id, train_text, eval_text, edits) of all pairs of texts (text_id, text) of MIN_LENGTH or
+    more characters whose edit distance is at most a tenth of the longer one's length."""
     spark = train.sparkSession
     found = evaluation.select("text").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     found = found.toPandas()  # at most 2 ** SKETCH_BITS rows
     counts = np.zeros(1 << SKETCH_BITS, np.float32)
     counts[found["slot"]] = found["n"]
-    index = evaluation.select("text_id", "text").mapInArrow(_all_grams, "gram long, eval_id long, eval_pos int, eval_len int")
-    shared = spark.sparkContext.broadcast(counts)
-    probes = train.select("text_id", "text").mapInArrow(lambda it: _probes(shared.value)(it), "gram long, train_id long, train_pos int, train_len int")
-    longer = F.greatest("eval_len", "train_len")
-    hits = index.join(probes, "gram").where((F.abs(F.col("eval_pos") - F.col("train_pos")) * 10 <= longer) & (F.abs(F.col("eval_len") - F.col("train_len")) * 10 <= longer))
+    frequencies = spark.sparkContext.broadcast(counts)
+    schema = "gram int, {0}_id long, {0}_place long, {0}_m0 long, {0}_m1 long"
+    probes = train.select("text_id", "text").mapInArrow(lambda it: _probes(frequencies.value)(it), schema.format("train"))
+    index = evaluation.select("text_id", "text").mapInArrow(_index, schema.format("eval"))
+    at, size = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    longer = F.greatest(size("eval_place"), size("train_place"))
+    apart = F.bit_count(F.col("eval_m0").bitwiseXOR(F.col("train_m0"))) + F.bit_count(F.col("eval_m1").bitwiseXOR(F.col("train_m1")))
+    hits = index.join(probes, "gram").where(
+        (F.abs(at("eval_place") - at("train_place")) * 10 <= longer) & (F.abs(size("eval_place") - size("train_place")) * 10 <= longer) & (apart <= 4 * F.floor(longer / 10))
+    )
     pairs = hits.select("train_id", "eval_id").distinct()
     texts = pairs.join(train.select(F.col("text_id").alias("train_id"), F.col("text").alias("train_text")), "train_id")
     texts = texts.join(evaluation.select(F.col("text_id").alias("eval_id"), F.col("text").alias("eval_text")), "eval_id")
@@ -191,8 +220,9 @@ def cross_split_overlaps(loci: DataFrame, leaf_split: DataFrame, special_pages:
     rows = with_split(loci, leaf_split, special_pages).where(F.length("text") >= MIN_LENGTH)
     rows = written(rows.select("record_id", "transcription_id", "split", "text", F.xxhash64("text").alias("text_id")), "split-texts")
     train, evaluation = rows.where("split = 'train'"), rows.where("split in ('validation', 'test')")
-    once = lambda d: d.groupBy("text_id").agg(F.min("text").alias("text"))
-    near = near_pairs(once(train), once(evaluation)).select("train_id", "eval_id", "edits", containment("eval_text", "train_text").alias("containment"))
+    texts = rows.groupBy("text_id", (F.col("split") == "train").alias("train")).agg(F.first("text").alias("text"))
+    texts = written(texts, "texts")
+    near = near_pairs(texts.where("train"), texts.where("not train")).select("train_id", "eval_id", "edits", containment("eval_text", "train_text").alias("containment"))
     a = train.select(F.col("text_id").alias("train_id"), F.col("record_id").alias("train_record"))
     b = evaluation.select(F.col("text_id").alias("eval_id"), F.col("record_id").alias("eval_record"), "split", "transcription_id")
     return near.join(a, "train_id").join(b, "eval_id").select("train_record", "eval_record", "split", "transcription_id", "edits", "containment")
