@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.session import written
+
 CAPACITY = 2048
 #: Items of one size that one task ranks, on average; a bound on the parts of a size.
 PART_ITEMS, MOST_PARTS = 200_000, 10_000
@@ -127,7 +129,8 @@ def _placed(ranges: dict):
 def packed(items: DataFrame, item: str = "doc_id", size: str = "tokens", capacity: int = CAPACITY) -> DataFrame:
     """(container, item, piece, start, size): a row for each piece of each item."""
     spark = items.sparkSession
-    rows = items.select(F.col(item).alias("item"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("whole"))
+    # read four times below, and sizes may be dear to compute
+    rows = written(items.select(F.col(item).alias("item"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("whole")), "sizes")
     some = rows.where("whole > 0")
     last = F.floor((F.col("whole") - 1) / capacity).cast("int")
     pieces = some.select("item", "whole", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
