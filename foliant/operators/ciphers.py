@@ -166,9 +166,14 @@ def variants(words: DataFrame, scheme: str, count: int = CYCLE, seed: int = 0) -
     if scheme in ("iid", "affix"):
         variant = draw(F.lit(seed), "line", "token") % count
     else:
-        turn = [F.floor(F.col("occurrence") / count)] if scheme == "shuffled" else []
-        order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda v: F.struct(draw(F.lit(seed), "word", *turn, v).alias("d"), v.alias("v"))))
-        variant = F.element_at(order, (F.col("occurrence") % count + 1).cast("int"))["v"]
+        turn = F.floor(F.col("occurrence") / count) if scheme == "shuffled" else F.lit(0).cast("long")
+        rows = rows.withColumn("turn", turn)
+        # one permutation for each word (and cycle), not for each token
+        parts = ["word", "turn"] if scheme == "shuffled" else ["word"]
+        order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda v: F.struct(draw(F.lit(seed), *parts, v).alias("d"), v.alias("v"))))
+        orders = rows.select("word", "turn").distinct().withColumn("order", F.transform(order, lambda x: x["v"]))
+        rows = rows.join(orders, ["word", "turn"])
+        variant = F.element_at("order", (F.col("occurrence") % count + 1).cast("int"))
     return rows.select("line", "token", "word", "occurrence", variant.cast("int").alias("variant"))
 
 

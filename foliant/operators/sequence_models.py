@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.session import written
+from foliant.session import shuffle_parts, written
 
 UNKNOWN_SYMBOL = "<UNK>"
 MOST_SYMBOLS = 5_000
@@ -32,7 +32,7 @@ def vocabulary(sequences: DataFrame) -> list[str]:
 def distinct_sequences(sequences: DataFrame) -> DataFrame:
     """(symbols, n): written once, as every iteration reads them, in enough parts for all cores however small."""
     own = sequences.where("size(symbols) > 0").groupBy("symbols").agg(F.count("*").alias("n"))
-    return written(own.repartition(2 * sequences.sparkSession.sparkContext.defaultParallelism), "sequences")
+    return written(own.repartition(shuffle_parts(sequences.sparkSession)), "sequences")
 
 
 def _summed(rows: DataFrame, step: Callable[[list[list[str]], np.ndarray], dict[str, np.ndarray]], shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:

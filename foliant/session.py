@@ -61,6 +61,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def shuffle_parts(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for exchanges that adaptive execution must not merge as their rows
+    are few bytes but much work."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that is long for its bytes: a scan of fewer partitions than there are cores, which is a small one,
+    is dealt out to all of them; any other stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def release() -> None:
     """Delete the tables that written() made."""
     for at, spark in list(_written.items()):
