@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.session import written
+from foliant.session import spread, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
@@ -140,7 +140,7 @@ def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
 def _pieces(documents: DataFrame, pattern: str, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
     """((block, doc_id, codes), the distinct words of each block: (block, code, word), gathered by word)."""
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = written(rows.mapInArrow(_cut(pattern), _BLOCKS), "pretokens")
+    blocks = written(spread(rows).mapInArrow(_cut(pattern), _BLOCKS), "pretokens")
     words = blocks.where("words is not null").select("block", F.posexplode("words").alias("code", "word"))
     return blocks.where("words is null").select("block", "doc_id", "codes"), words.repartition("word").sortWithinPartitions("word")
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.session import spread
+
 COMMON_WORDS, COMMON_SHARE = 2_000, 0.005
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CLOSERS = " \t\"'”’»)]"
@@ -57,7 +59,7 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def common_words(documents: DataFrame, text: str = "text") -> list[str]:
     """At most COMMON_WORDS words of two letters or more, in the most documents and in COMMON_SHARE of all."""
-    counts = documents.select(text).mapInArrow(_word_sets, "word string, n long").where("length(word) > 1").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = spread(documents.select(text)).mapInArrow(_word_sets, "word string, n long").where("length(word) > 1").groupBy("word").agg(F.sum("n").alias("n"))
     least = max(2, int(documents.count() * COMMON_SHARE))
     top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
     return top.toPandas()["word"].tolist()
@@ -273,4 +275,4 @@ def statistics(documents: DataFrame, common: list[str] | None = None, id_column:
                 cols = [pa.array(c, k) for c, (_, k) in zip(zip(*rows), FIELDS)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", *[f for f, _ in FIELDS]])
 
-    return documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return spread(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, SCHEMA)
