@@ -109,7 +109,7 @@ def parse(lines: DataFrame) -> DataFrame:
     active = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.col("tag")[k].alias("v")) for k in _KEYS]), lambda e: e["v"].isNotNull())
     tags = F.map_from_entries(F.transform(active, lambda e: F.struct(e["k"], F.nullif(e["v"], F.lit("@")))))
     kept = F.map_filter("header_vars", lambda k, v: ~F.map_contains_key("text_tags", k))
-    rows = rows.withColumn("text_tags", tags).withColumn("page_vars", F.map_concat(kept, "text_tags")).join(F.broadcast(head), "file")
+    rows = rows.withColumn("text_tags", tags).withColumn("page_vars", F.map_concat(kept, "text_tags")).join(head, "file")
     h = lambda i: _some(F.regexp_extract("file_header_original", FILE_HEADER, i))
     v = lambda k: F.col("page_vars")[k]
     page = lambda i: _some(F.regexp_extract("folio", r"^f(\d+)([rv])(\d*)$", i))
