@@ -13,8 +13,8 @@ has at most one label of each annotator.
 Defined cases: an annotator's last label of an item counts (ties: the greater id); null, empty and blank labels
 are none, also where an earlier one was not; runs of blanks are one blank; rows without item or annotator are left
 out; items of fewer than `least` annotators get no consensus but still count for reliability; ties go to the
-label first in order; empty tables give an empty result; labels may be of any length (beyond LONG
-symbols a label is confused as a whole); further columns are ignored.
+label first in order; empty tables give an empty result; labels may be of any length (two labels of n and m symbols take
+n * m steps); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,24 +30,43 @@ from pyspark.sql import functions as F
 from foliant.functions.text import squeezed
 from foliant.session import shuffle_parts, written
 
-MOST_ANNOTATORS, MOST_SYMBOLS, LONG = 10_000, 2_000, 400
+MOST_ANNOTATORS, MOST_SYMBOLS = 10_000, 2_000
 COMMUNITIES, UPDATES = 4, 12
 
 
 def _alignment(truth: list[int], read: list[int]) -> list[tuple[int, int]]:
-    """Pairs of symbols of a shortest edit script; 0 is no symbol."""
+    """Pairs of symbols of a shortest edit script; 0 is no symbol. Of the rows of the distance table every step-th is
+    kept, and those between are computed again on the way back, so that memory grows with n ** 0.5 * m."""
     n, m = len(truth), len(read)
-    d = np.zeros((n + 1, m + 1), np.int32)
-    d[:, 0], d[0] = np.arange(n + 1), np.arange(m + 1)
+    out: list[tuple[int, int]] = []
+    while n and m and truth[n - 1] == read[m - 1]:  # the way back begins with equal last symbols
+        n, m = n - 1, m - 1
+        out.append((truth[n], read[m]))
+    a, b, at = np.array(truth[:n], np.int64), np.array(read[:m], np.int64), np.arange(m + 1, dtype=np.int32)
+
+    def below(row: np.ndarray, i: int) -> np.ndarray:
+        """Row i of the table from the row before."""
+        best = row + 1
+        np.minimum(best[1:], row[:-1] + (b != a[i - 1]), out=best[1:])
+        return np.minimum.accumulate(best - at) + at
+
+    step = max(1, int(n**0.5))
+    kept, row = [at], at
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            d[i, j] = min(d[i - 1, j - 1] + (truth[i - 1] != read[j - 1]), d[i - 1, j] + 1, d[i, j - 1] + 1)
-    out, i, j = [], n, m
+        row = below(row, i)
+        if i % step == 0:
+            kept.append(row)
+    i, j, first, rows = n, m, n + 1, []
     while i or j:
-        if i and j and d[i, j] == d[i - 1, j - 1] + (truth[i - 1] != read[j - 1]):
+        if i and i <= first:
+            first = (i - 1) // step * step
+            rows = [kept[first // step]]
+            for k in range(first + 1, i + 1):
+                rows.append(below(rows[-1], k))
+        if i and j and rows[i - first][j] == rows[i - first - 1][j - 1] + (truth[i - 1] != read[j - 1]):
             i, j = i - 1, j - 1
             out.append((truth[i], read[j]))
-        elif i and d[i, j] == d[i - 1, j] + 1:
+        elif i and rows[i - first][j] == rows[i - first - 1][j] + 1:
             i -= 1
             out.append((truth[i], 0))
         else:
@@ -65,8 +84,7 @@ def _items(symbols: dict[str, int]):
     other = size - 1
 
     def codes(label: str) -> list[int]:
-        found = [symbols.get(s, other) for s in label.split(" ")]
-        return found if len(found) <= LONG else [other]
+        return [symbols.get(s, other) for s in label.split(" ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -139,6 +139,33 @@ def test_consensus_edges(spark):
     assert empty.count() == 0 and trust.count() == 0
 
 
+def test_consensus_of_long_labels_goes_to_the_majority(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(6):
+        right = [rng.choice("ABCD") for _ in range(500 + 100 * k)]
+        wrong = [("E" if rng.random() < 0.02 else g) for g in right]
+        wrong[0] = "E"
+        first, second = sorted((" ".join(right), " ".join(wrong)))
+        # the majority takes now the label first in order, now the other
+        majority, minority = (first, second) if k % 2 else (second, first)
+        rows += [(f"i{k}", a, majority) for a in "abc"] + [(f"i{k}", "d", minority)]
+        rows += [(f"short{k}", a, "A B") for a in "abcd"]
+    found, _ = consensus.consensus(spark.createDataFrame(rows, "item string, annotator string, label string"))
+    got = {r["item"]: r["label"] for r in found.collect()}
+    assert {i: got[i] == x for i, a, x in rows if a == "a"} == {i: True for i, _, _ in rows}
+
+
+def test_alignment_of_long_labels():
+    rng = random.Random(9)
+    for n, m in ((3000, 3000), (900, 1), (0, 700), (600, 450)):
+        a, b = ([rng.randint(1, 5) for _ in range(k)] for k in (n, m))
+        pairs = consensus._alignment(a, b)
+        assert [t for t, _ in pairs if t][::-1] == a and [r for _, r in pairs if r][::-1] == b
+        if n * m < 300_000:
+            assert sum(t != r for t, r in pairs) == edit_distance(a, b)
+
+
 # 6. splits
 def test_components_against_union_find(spark):
     rng = random.Random(3)
