@@ -124,4 +124,4 @@ def family_inventory(spark, sf):
 
 @query()
 def permutation_test(spark, sf):
-    return Q.permutation_test(Q.family_occurrences(lines(spark, sf)), 16, 50)
+    return Q.permutation_test(Q.family_occurrences(lines(spark, sf)), 16, 10_000)

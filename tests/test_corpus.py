@@ -1,5 +1,8 @@
+import itertools
 import math
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +128,27 @@ def test_lag_profile_of_a_cycle(spark):
     assert p["observed"] == 1.0 and p["p"] < 0.1
 
 
+def test_permutation_p_of_a_strong_cycle_is_under_a_thousandth(spark):
+    cycle = [(f"b{f}", str(i % 16), i) for f in range(3) for i in range(80)]
+    rare = [(f"r{f}", "x" if i % 16 == f else "y", i) for f in range(3) for i in range(90)]
+    occ = spark.createDataFrame(cycle + rare + [("one", "z", i) for i in range(50)] + [("few", str(i), i) for i in range(16)], "base string, suffix string, occurrence long")
+    p = Q.permutation_test(occ, 16, 10_000).first()
+    assert p["observed"] == 1.0 and p["p"] == p["contrast_p"] == round(1 / 10_001, 6)
+    flat = Q.permutation_test(occ.where("base = 'one'"), 16, 200).first()
+    assert (flat["observed"], flat["null_mean"], flat["p"], flat["contrast"], flat["contrast_p"]) == (1.0, 1.0, 1.0, 0.0, 1.0)
+    assert Q.permutation_test(occ.where("base = 'few'"), 16, 10).count() == 0
+
+
+@pytest.mark.parametrize("counts", [[6, 1, 1], [2, 3, 1], [9, 2]])
+def test_shuffled_orders_are_equally_likely(counts):
+    letters = [k for k, n in enumerate(sorted(counts, reverse=True)) for _ in range(n)]
+    orders = set(itertools.permutations(letters)) if len(letters) < 9 else {tuple(int(i in c) for i in range(11)) for c in itertools.combinations(range(11), 2)}
+    exact = Counter(tuple(sum(x == y for x, y in zip(o, o[k:])) for k in (1, 2, 3)) for o in orders)
+    got = Counter(map(tuple, Q._matches(counts, 60_000, 3, np.random.default_rng(1)).tolist()))
+    assert set(got) == set(exact)
+    assert all(abs(got[k] / 60_000 - n / len(orders)) < 0.01 for k, n in exact.items())
+
+
 def test_every_query_has_a_name_and_sql_names_a_query():
     import __spark_entry__ as e
 
