@@ -56,6 +56,20 @@ def _summed(rows: DataFrame, step: Callable[[list[list[str]], np.ndarray], dict[
     return {k: v.reshape(shapes[k]) for k, v in out.items()}
 
 
+def _iterated(rows: DataFrame, model: HiddenMarkov | SlotGrammar, shapes: dict[str, tuple[int, ...]], iterations: int, least: int, tolerance: float, smoothing: float) -> list[float]:
+    """Improve the model until its bits change by less than tolerance after `least` passes, or for `iterations`; the
+    trace is of the bits before each update. What is counted last is not applied once it has converged."""
+    trace: list[float] = []
+    for _ in range(iterations):
+        c = _summed(rows, model._step, shapes)
+        trace.append(float(c["bits"][0] / max(1.0, c["bits"][1])))
+        if len(trace) >= max(2, least) and abs(trace[-1] - trace[-2]) < tolerance:
+            break
+        for k in shapes.keys() - {"bits"}:
+            setattr(model, k, (c[k] + smoothing) / (c[k] + smoothing).sum(-1, keepdims=True))
+    return trace
+
+
 class HiddenMarkov:
     """A hidden Markov model by Baum-Welch, in scaled probabilities."""
 
@@ -116,16 +130,10 @@ class HiddenMarkov:
                     start += gamma.sum(0)
         return {"start": start, "move": move, "emit": emit, "bits": bits}
 
-    def fit(self, rows: DataFrame, iterations: int = 10, smoothing: float = 1e-3) -> list[float]:
-        """Bits per event before each iteration, which never rise but for smoothing."""
+    def fit(self, rows: DataFrame, iterations: int = 50, smoothing: float = 1e-3, least: int = 5, tolerance: float = 1e-5) -> list[float]:
+        """Bits per event before each update, which never rise but for smoothing."""
         shapes = {"start": self.start.shape, "move": self.move.shape, "emit": self.emit.shape, "bits": (2,)}
-        trace = []
-        for _ in range(iterations):
-            c = _summed(rows, self._step, shapes)
-            trace.append(float(c["bits"][0] / max(1.0, c["bits"][1])))
-            norm = lambda x: (x + smoothing) / (x + smoothing).sum(-1, keepdims=True)
-            self.start, self.move, self.emit = norm(c["start"]), norm(c["move"]), norm(c["emit"])
-        return trace
+        return _iterated(rows, self, shapes, iterations, least, tolerance, smoothing)
 
     def bits(self, symbols: list[str]) -> float:
         return float(-np.log2(self._forward(*self._padded([symbols]))[1]).sum())
@@ -156,7 +164,7 @@ class SlotGrammar:
             at, codes, logs = self._parts(symbols)
             top = logs.max()
             q = np.exp(logs - top)
-            bits += n * np.array([-(np.log2(q.sum()) + top / np.log(2)) - np.log2(self.length[min(len(symbols), 64)]), len(symbols) + 1])
+            bits += n * np.array([-(np.log2(q.sum()) + top / np.log(2)) - np.log2(self.length[min(len(symbols), 64)]), 1])
             q /= q.sum()
             length[min(len(symbols), 64)] += n
             mix += n * q
@@ -164,15 +172,10 @@ class SlotGrammar:
                 emit[:, s, c] += n * q
         return {"length": length, "mix": mix, "emit": emit, "bits": bits}
 
-    def fit(self, rows: DataFrame, iterations: int = 10, smoothing: float = 0.5) -> list[float]:
+    def fit(self, rows: DataFrame, iterations: int = 50, smoothing: float = 0.5, least: int = 5, tolerance: float = 1e-5) -> list[float]:
+        """Bits per token before each update."""
         shapes = {"length": self.length.shape, "mix": self.mix.shape, "emit": self.emit.shape, "bits": (2,)}
-        trace = []
-        for _ in range(iterations):
-            c = _summed(rows, self._step, shapes)
-            trace.append(float(c["bits"][0] / max(1.0, c["bits"][1])))
-            norm = lambda x: (x + smoothing) / (x + smoothing).sum(-1, keepdims=True)
-            self.length, self.mix, self.emit = norm(c["length"]), norm(c["mix"]), norm(c["emit"])
-        return trace
+        return _iterated(rows, self, shapes, iterations, least, tolerance, smoothing)
 
     def bits(self, symbols: list[str]) -> float:
         logs = self._parts(symbols)[2]

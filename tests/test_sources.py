@@ -1,3 +1,4 @@
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -84,6 +85,18 @@ def test_models_learn(spark):
     assert c.score(["A", "B"], [["A", "B"]])[0] < c.score(["A", "B"], [])[0]
 
 
+def test_models_iterate_until_they_converge(spark):
+    rng = random.Random(2)
+    s = spark.createDataFrame([(["A" if rng.random() < (0.8 if i % 2 else 0.3) else rng.choice("BC") for _ in range(12)],) for i in range(60)], "symbols array<string>")
+    rows, v = Z.distinct_sequences(s), Z.vocabulary(s)
+    for make in (lambda: Z.HiddenMarkov(2, v), lambda: Z.SlotGrammar(2, 4, v)):
+        trace = make().fit(rows)
+        steps = [abs(a - b) for a, b in zip(trace, trace[1:])]
+        assert len(trace) == 50 or steps[-1] < 1e-5
+        assert 10 < len(trace) and all(x >= 1e-5 for x in steps[3:-1])
+        assert len(make().fit(rows, tolerance=1e9)) == 5 and len(make().fit(rows, tolerance=0.0)) == 50
+
+
 def test_streams(spark, tmp_path):
     src, n = str(tmp_path / "in"), 40
     spark.sql(f"select id as event_id, timestamp_seconds(id * 600) as ts, id % 2 as user_id, 'a' as event_type, 1.0D as value, '' as props from range({n})").write.parquet(src)
