@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.corpus import readable
 from foliant.session import shuffle_parts, written
 
 UNKNOWN_SYMBOL = "<UNK>"
@@ -205,20 +206,24 @@ def alignment(a: list[str], b: list[str]) -> list[str]:
 
 
 def copy_sources(tokens: DataFrame, window: int) -> DataFrame:
-    """tokens (record_id, token_index, glyphs) with `history`, the up to `window` tokens before in the line, nearest
-    first."""
-    frame = f"over (partition by record_id order by token_index rows between {window} preceding and 1 preceding)"
-    return tokens.withColumn("history", F.reverse(F.expr(f"collect_list(glyphs) {frame}")))
+    """The readable ones of tokens (record_id, token_index, glyphs) with `history`, the up to `window` tokens before in the
+    line, nearest first. An unreadable token ends what can be copied: none after it looks beyond it."""
+    t = tokens.withColumn("__break", (~readable(F.col("glyphs"))).cast("int"))
+    t = t.withColumn("__part", F.expr("sum(__break) over (partition by record_id order by token_index)")).where("__break = 0")
+    frame = f"over (partition by record_id, __part order by token_index rows between {window} preceding and 1 preceding)"
+    return t.withColumn("history", F.reverse(F.expr(f"collect_list(glyphs) {frame}"))).drop("__break", "__part")
 
 
 class CopyEdit:
     """A token is new, or an edited copy of a recent one: a symbol is dropped, kept, replaced, and symbols are added
-    in gaps, with fixed chances pooled from alignments with the nearest source."""
+    in gaps, with fixed chances pooled from alignments with the nearest source. How far back sources lie is learned
+    from these, too; with fewer tokens before, the chances of their distances are scaled up to 1."""
 
-    def __init__(self, symbols: list[str]):
+    def __init__(self, symbols: list[str], window: int = 4):
         self.code = {s: i for i, s in enumerate(symbols)}
         self.symbol = np.full(len(symbols), 1 / len(symbols))
         self.length = np.full(65, 1 / 65)
+        self.distance = np.full(window, 1 / window)
         self.insert, self.delete, self.keep, self.rho = 0.05, 0.05, 0.9, 0.5
 
     @staticmethod
@@ -248,9 +253,14 @@ class CopyEdit:
         empty = ((1 - self.insert) * self.delete) ** n * (1 - self.insert)
         return float(p[n, m] * (1 - self.insert) / max(1e-300, 1 - empty))
 
-    def fit(self, rows: DataFrame, iterations: int = 25) -> None:
+    def mixed(self, token: list[str], history: list[list[str]]) -> float:
+        """The chance of token as a copy of one of history, nearest first, by their distances."""
+        chances = self.distance[: len(history)]
+        return float(np.dot(chances / chances.sum(), [self.copied(s, token) for s in history[: len(chances)]]))
+
+    def fit(self, rows: DataFrame, iterations: int = 100, tolerance: float = 1e-10) -> None:
         """rows (glyphs, history)."""
-        code, size = self.code, len(self.code)
+        code, size, window = self.code, len(self.code), len(self.distance)
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[str, float] = {}
@@ -258,7 +268,8 @@ class CopyEdit:
                 for token, history in zip(b.column("glyphs").to_pylist(), b.column("history").to_pylist()):
                     keys = [f"L{min(len(token), 64)}", *[f"G{code.get(s, size - 1)}" for s in token]]
                     if history:
-                        keys += alignment(history[self.source(token, history)], token)
+                        k = self.source(token, history[:window])
+                        keys += [f"W{k}", *alignment(history[k], token)]
                     for k in keys:
                         total[k] = total.get(k, 0.0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.float64())], ["k", "v"])
@@ -266,7 +277,8 @@ class CopyEdit:
         c = {r["k"]: r["v"] for r in rows.mapInArrow(counted, "k string, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}  # parameters
         get = lambda k: c.get(k, 0.0)
         length, symbol = np.array([get(f"L{i}") for i in range(65)]) + 0.5, np.array([get(f"G{i}") for i in range(size)]) + 0.5
-        self.length, self.symbol = length / length.sum(), symbol / symbol.sum()
+        distance = np.array([get(f"W{i}") for i in range(window)]) + 0.5
+        self.length, self.symbol, self.distance = length / length.sum(), symbol / symbol.sum(), distance / distance.sum()
         kept = get("M") + get("S")
         self.insert = (get("I") + 0.5) / (get("I") + kept + get("D") + 1)
         self.delete = (get("D") + 0.5) / (kept + get("D") + 1)
@@ -274,14 +286,17 @@ class CopyEdit:
         likelihood = written(rows.where("size(history) > 0").mapInArrow(self._likelihoods, "new double, copied double"), "likelihoods")
         for _ in range(iterations):
             q = F.col("copied") * self.rho / (F.col("copied") * self.rho + F.col("new") * (1 - self.rho))
-            rho = likelihood.agg(F.avg(q)).first()[0]
-            if rho is None or abs(rho - self.rho) < 1e-6:
+            total, n = likelihood.agg(F.sum(q), F.count("*")).first()
+            if not n:
+                break
+            rho, before = (total + 0.5) / (n + 1), self.rho
+            self.rho = float(rho)
+            if abs(rho - before) < tolerance:
                 break
-            self.rho = float(np.clip(rho, 1e-9, 1 - 1e-9))
 
     def _likelihoods(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = [(self.new(t), float(np.mean([self.copied(s, t) for s in h]))) for t, h in zip(b.column("glyphs").to_pylist(), b.column("history").to_pylist())]
+            pairs = [(self.new(t), self.mixed(t, h)) for t, h in zip(b.column("glyphs").to_pylist(), b.column("history").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.float64()), pa.array([p[1] for p in pairs], pa.float64())], ["new", "copied"])
 
     def score(self, token: list[str], history: list[list[str]]) -> tuple[float, float]:
@@ -289,7 +304,7 @@ class CopyEdit:
         new = self.new(token)
         if not history:
             return -float(np.log2(max(new, 1e-300))), 0.0
-        copy = float(np.mean([self.copied(s, token) for s in history])) * self.rho
+        copy = self.mixed(token, history) * self.rho
         total = max(copy + new * (1 - self.rho), 1e-300)
         return -float(np.log2(total)), copy / total
 

@@ -223,9 +223,8 @@ def copy_edit_score(spark, sf):
     """Held-out tokens under a model of edited copies of the last four tokens: bits per event and copies' share."""
     from foliant.operators import sequence_models as Z
 
-    t = C.tokens(lines(spark, sf), "physical_leaf").where(C.readable(F.col("glyphs")))
-    t = Z.copy_sources(t, 4).withColumn("held", F.coalesce(F.col("physical_leaf") % 5 == 0, F.lit(False)))
-    model = Z.CopyEdit(Z.vocabulary(t.where("not held").select(F.col("glyphs").alias("symbols"))))
+    t = Z.copy_sources(C.tokens(lines(spark, sf), "physical_leaf"), 4).withColumn("held", F.coalesce(F.col("physical_leaf") % 5 == 0, F.lit(False)))
+    model = Z.CopyEdit(Z.vocabulary(t.where("not held").select(F.col("glyphs").alias("symbols"))), 4)
     model.fit(t.where("not held").select("glyphs", "history"))
 
     def run(batches):

@@ -97,6 +97,22 @@ def test_models_iterate_until_they_converge(spark):
         assert len(make().fit(rows, tolerance=1e9)) == 5 and len(make().fit(rows, tolerance=0.0)) == 50
 
 
+def test_copies_by_distance_and_within_readable_segments(spark):
+    t = spark.createDataFrame([(1, i, g) for i, g in enumerate([["A"], ["B"], ["C", "Z1"], ["D"], ["E"], ["F"]])], "record_id long, token_index int, glyphs array<string>")
+    got = {r["token_index"]: r["history"] for r in Z.copy_sources(t, 2).collect()}
+    assert got == {0: [], 1: [["A"]], 3: [], 4: [["D"]], 5: [["E"], ["D"]]}
+    # every token repeats the one before the last
+    a, b, x = ["A"] * 4, ["B"] * 4, ["C"] * 4
+    rows = spark.createDataFrame([(a, [b, a]), (b, [a, b]), (x, [a, x])] * 20, "glyphs array<string>, history array<array<string>>")
+    c = Z.CopyEdit(["A", "B", "C", Z.UNKNOWN_SYMBOL], 2)
+    c.fit(rows)
+    assert abs(c.distance[1] - 60.5 / 61) < 1e-9
+    assert c.score(a, [b, a])[0] < c.score(a, [a, b])[0] - 3
+    new, copied = c.new(a), c.mixed(a, [b, a])
+    q = copied * c.rho / (copied * c.rho + new * (1 - c.rho))
+    assert abs((60 * q + 0.5) / 61 - c.rho) < 1e-8
+
+
 def test_streams(spark, tmp_path):
     src, n = str(tmp_path / "in"), 40
     spark.sql(f"select id as event_id, timestamp_seconds(id * 600) as ts, id % 2 as user_id, 'a' as event_type, 1.0D as value, '' as props from range({n})").write.parquet(src)
