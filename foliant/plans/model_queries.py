@@ -109,7 +109,7 @@ def leave_one_leaf_out(spark, sf):
 
 @query()
 def paired_bootstrap(spark, sf):
-    return R.interval(R.paired_bootstrap(_deltas(spark, sf), 500))
+    return R.interval(R.paired_bootstrap(_deltas(spark, sf), 10_000))
 
 
 @query(_SEQ.replace("), ev as (", "), ev0 as (").split(", ev0 as (")[0] + """, t as (select record_id, token_index, tok, list_append(glyphs, '<EOT>') as symbols, coalesce('f' || physical_leaf, 'special') as unit, coalesce(physical_leaf % 5 = 0, false) as held from tok where not list_contains(glyphs, 'Z1')),

@@ -89,6 +89,12 @@ def test_bootstrap_of_equal_units_has_no_spread(spark):
     assert (r["mean"], r["lower"], r["upper"], r["replicates"]) == (1.5, 1.5, 1.5, 50)
 
 
+def test_bootstrap_query_draws_as_often_as_the_reference(spark):
+    import __spark_entry__ as e
+
+    assert e.queries()["paired_bootstrap"](spark, "/root/testdata/sf0.001").first()["replicates"] == 10_000
+
+
 def test_splits(spark):
     assert S.largest_remainder(10, {"a": 0.5, "b": 0.25, "c": 0.25}) == {"a": 5, "b": 3, "c": 2}
     u = spark.createDataFrame([(i,) for i in range(10)] * 2, "u int")
