@@ -166,6 +166,35 @@ def test_alignment_of_long_labels():
             assert sum(t != r for t, r in pairs) == edit_distance(a, b)
 
 
+def test_consensus_of_rare_symbols_goes_to_the_majority(spark, monkeypatch):
+    monkeypatch.setattr(consensus, "MOST_SYMBOLS", 50)
+    rng, rows = random.Random(11), []
+    for k in range(400):
+        words = [f"w{rng.randrange(3000)}" for _ in range(6)]
+        other = [*words[:2], f"w{rng.randrange(3000)}x", *words[3:]]
+        a, b = (" ".join(words), " ".join(other)) if k % 2 else (" ".join(other), " ".join(words))
+        rows += [(f"i{k}", x, a) for x in "abc"] + [(f"i{k}", "d", b)]
+    found, _ = consensus.consensus(spark.createDataFrame(rows, "item string, annotator string, label string"))
+    got = {r["item"]: (r["label"], r["agreement"]) for r in found.collect()}
+    assert got == {i: (x, 0.75) for i, a, x in rows if a == "a"}
+
+
+def test_consensus_of_an_item_with_many_labels(spark):
+    rng = random.Random(12)
+    right = [rng.choice("ABCDEFGH") for _ in range(40)]
+    rows = [("cold", f"p{k}", "A B C") for k in range(1500)]
+    for k in range(1500):  # nearly every annotator's label is of its own
+        read = [rng.choice("ABCDEFGH") if rng.random() < 0.08 else g for g in right if rng.random() > 0.02]
+        rows.append(("hot", f"p{k}", " ".join(read if k % 50 else right)))
+    found, _ = consensus.consensus(spark.createDataFrame(rows, "item string, annotator string, label string"))
+    assert {r["item"]: r["label"] for r in found.collect()} == {"hot": " ".join(right), "cold": "A B C"}
+
+
+def test_columns_of_labels():
+    grid = consensus._laid_out([[1, 2, 3], [1, 9, 2, 3], [2, 3, 7, 8], [5, 1, 2, 3]], [3, 1, 1, 1])
+    assert grid == [[0, 1, 0, 2, 3, 0, 0], [0, 1, 9, 2, 3, 0, 0], [0, 0, 0, 2, 3, 7, 8], [5, 1, 0, 2, 3, 0, 0]]
+
+
 # 6. splits
 def test_components_against_union_find(spark):
     rng = random.Random(3)
