@@ -7,7 +7,9 @@ tokenizer's token-byte table.
 What keeps the shuffle small: a block of neighbouring texts numbers its distinct words, so each text is an
 array of word numbers (its positions), which goes nowhere but to its block's reassembly, and a word is sent once
 a block and not once an occurrence. A word in every block is as many rows as there are blocks, each of which
-may lie in another task: no hot word, source or text gathers more than one block's rows.
+may lie in another task: no hot word, source or text gathers more than one block's rows. Exchanges have as many
+partitions as the blocks need, so tasks stay as large whatever the input. The vocabulary is read once, by the
+driver, and sent to the executors; its size is the tokenizer's and not the corpus'.
 
 Defined cases: a null or empty text gives an empty list; a blank text its ids; special tokens' strings are
 ordinary text; repeated rows and null ids come out as often as they came in; texts may be of any length (a
@@ -23,24 +25,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.session import spread, written
+from foliant.session import written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters and texts that end a block.
 BLOCK_CHARS, BLOCK_TEXTS = 2_000_000, 4_000
+#: Blocks that one task of an exchange takes.
+TASK_BLOCKS = 2
 
 
 @functools.cache
-def _encoding(vocabulary: str, pattern: str):
+def _encoding_of(vocabulary: bytes, pattern: str):
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary, "rb"))}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=_ranks(vocabulary), special_tokens={})
+
+
+def _ranks(vocabulary: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines() if x.strip())}
+
+
+def _read(spark: SparkSession, vocabulary: str) -> bytes:
+    """The vocabulary's file: the driver's, or at an address that Spark reads."""
+    if "://" in vocabulary:
+        return bytes(spark.read.format("binaryFile").load(vocabulary).select("content").first()["content"])
+    with open(vocabulary, "rb") as f:
+        return f.read()
+
+
+def _encoding(vocabulary: str, pattern: str):
+    with open(vocabulary, "rb") as f:
+        return _encoding_of(f.read(), pattern)
 
 
 @functools.cache
@@ -50,7 +70,7 @@ def _cutter(pattern: str):
     return regex.compile(pattern).findall
 
 
-_BLOCKS = "block long, doc_id long, codes array<int>, words array<string>"
+_BLOCKS = "block long, doc_id long, codes array<int>, words array<string>, texts int"
 
 
 def _cut(pattern: str):
@@ -63,9 +83,9 @@ def _cut(pattern: str):
 
         def ended() -> pa.RecordBatch:
             words = pa.array([None] * len(ids) + [list(number)], pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids) + 1, block)), pa.array([*ids, None], pa.int64()), pa.array([*codes, None], pa.list_(pa.int32())), words], ["block", "doc_id", "codes", "words"]
-            )
+            texts = pa.array([None] * len(ids) + [len(ids)], pa.int32())
+            columns = [pa.array(np.full(len(ids) + 1, block)), pa.array([*ids, None], pa.int64()), pa.array([*codes, None], pa.list_(pa.int32())), words, texts]
+            return pa.RecordBatch.from_arrays(columns, ["block", "doc_id", "codes", "words", "texts"])
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -82,11 +102,11 @@ def _cut(pattern: str):
     return run
 
 
-def _encode_words(vocabulary: str, pattern: str):
-    """Rows come sorted by word, so each distinct word of the corpus is encoded once."""
+def _encode_words(vocabulary, pattern: str):
+    """Rows come sorted by word, so each distinct word of the corpus is encoded once. vocabulary: broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(vocabulary, pattern)._core_bpe.encode_single_piece
+        encode = _encoding_of(vocabulary.value, pattern)._core_bpe.encode_single_piece
         last, ids = None, []
         for b in batches:
             out = []
@@ -99,7 +119,7 @@ def _encode_words(vocabulary: str, pattern: str):
     return run
 
 
-def _measure_words(vocabulary: str, pattern: str):
+def _measure_words(vocabulary, pattern: str):
     """As _encode_words, with the number of ids in their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,41 +157,53 @@ def _reassemble(texts: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"doc_id": texts.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids[at].astype(np.int32)))})
 
 
-def _pieces(documents: DataFrame, pattern: str, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """((block, doc_id, codes), the distinct words of each block: (block, code, word), gathered by word)."""
+def _pieces(documents: DataFrame, pattern: str, id_column: str, text: str) -> tuple[int, DataFrame, DataFrame]:
+    """(partitions of the exchanges, (block, doc_id, codes), the distinct words of each block: (block, code, word),
+    gathered by word)."""
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = written(spread(rows).mapInArrow(_cut(pattern), _BLOCKS), "pretokens")
-    words = blocks.where("words is not null").select("block", F.posexplode("words").alias("code", "word"))
-    return blocks.where("words is null").select("block", "doc_id", "codes"), words.repartition("word").sortWithinPartitions("word")
+    blocks = written(rows.mapInArrow(_cut(pattern), _BLOCKS), "pretokens")
+    n = max(1, -(-blocks.where("texts is not null").count() // TASK_BLOCKS))
+    words = blocks.where("texts is not null").select("block", F.posexplode("words").alias("code", "word"))
+    return n, blocks.where("texts is null").select("block", "doc_id", "codes"), words.repartition(n, "word").sortWithinPartitions("word")
 
 
 def encoded(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of every row of documents."""
-    texts, words = _pieces(documents, pattern, id_column, text)
-    ids = words.mapInArrow(_encode_words(vocabulary, pattern), "block long, code int, ids array<int>")
-    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
+    n, texts, words = _pieces(documents, pattern, id_column, text)
+    sent = documents.sparkSession.sparkContext.broadcast(_read(documents.sparkSession, vocabulary))
+    ids = words.mapInArrow(_encode_words(sent, pattern), "block long, code int, ids array<int>")
+    return texts.repartition(n, "block").groupBy("block").cogroup(ids.repartition(n, "block").groupBy("block")).applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, tokens) of every row of documents, without moving the ids themselves."""
-    texts, words = _pieces(documents, pattern, id_column, text)
-    n = words.mapInArrow(_measure_words(vocabulary, pattern), "block long, code int, n int")
-    return texts.groupBy("block").cogroup(n.groupBy("block")).applyInArrow(_add_up, "doc_id long, tokens long")
+    n, texts, words = _pieces(documents, pattern, id_column, text)
+    sent = documents.sparkSession.sparkContext.broadcast(_read(documents.sparkSession, vocabulary))
+    sizes = words.mapInArrow(_measure_words(sent, pattern), "block long, code int, n int")
+    return texts.repartition(n, "block").groupBy("block").cogroup(sizes.repartition(n, "block").groupBy("block")).applyInArrow(_add_up, "doc_id long, tokens long")
 
 
 def token_bytes(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, bytes): a row for each token of the vocabulary."""
-    lines = spark.read.text(vocabulary).select(F.split("value", " ").alias("p")).where("size(p) = 2")
-    return lines.select(F.get("p", F.lit(1)).cast("int").alias("id"), F.unbase64(F.get("p", F.lit(0))).alias("bytes"))
+    ranks = _ranks(_read(spark, vocabulary))
+    return spark.createDataFrame(pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks.keys(), pa.binary())}))
+
+
+def _token_hex(spark: SparkSession, vocabulary: str) -> Column:
+    """The bytes of each id as hex text, at the id's place in one constant array; empty where there is no such id."""
+    ranks = _ranks(_read(spark, vocabulary))
+    at = [""] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        at[i] = token.hex()
+    return F.split(F.lit(",".join(at)), ",")
 
 
 def decoded(ids: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids). Rows of one doc_id must be alike; an id outside the vocabulary
-    makes the text null."""
-    tokens = token_bytes(ids.sparkSession, vocabulary)
-    once = ids.dropDuplicates(["doc_id"])
-    each = once.select("doc_id", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(tokens), "id", "left")
-    whole = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "bytes"))).alias("p"), F.count("id").alias("n"))
-    hexes = F.array_join(F.transform("p", lambda x: F.hex(x["bytes"])), "")
-    known = F.forall("p", lambda x: x["bytes"].isNotNull() | x["pos"].isNull())
-    return whole.select("doc_id", F.when(known, F.decode(F.unhex(hexes), "UTF-8")).alias("text"))
+    """(doc_id, text) of every row (doc_id, ids), each joined with the token-byte table within its row, so nothing
+    moves; repeated rows come out as often as they came in. An id outside the vocabulary makes the text null; null
+    ids are an empty text."""
+    table = _token_hex(ids.sparkSession, vocabulary)
+    pieces = F.transform(F.coalesce("ids", F.array().cast("array<int>")), lambda i: F.when(i >= 0, F.nullif(F.get(table, i), F.lit(""))))
+    whole = ids.select("doc_id", pieces.alias("p"))
+    known = F.forall("p", lambda x: x.isNotNull())
+    return whole.select("doc_id", F.when(known, F.decode(F.unhex(F.array_join("p", "")), "UTF-8")).alias("text"))
