@@ -16,7 +16,11 @@ _SETTINGS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
-_written: dict[str, SparkSession] = {}
+#: The tables that written() made: the session, and a weak reference of the JVM to the relation that plans read.
+_written: dict[str, tuple[SparkSession, object]] = {}
+#: Tables made since unused ones were last looked for.
+_since = 0
+SWEEP_EVERY = 16
 #: The temporary folder of each local application that names none.
 _own: dict[str, str] = {}
 
@@ -46,19 +50,29 @@ def shared_dir(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="foliant-")
-            _written[_own[app]] = spark
+            _written[_own[app]] = (spark, None)
         at = _own[app]
     return at.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts the lineage, outlives lost executors and is
-    computed once however many plans read it."""
+    computed once however many plans read it. The table is deleted some time after the last plan that reads it is
+    gone, or by release(), or when the session's Python ends."""
+    global _since
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/foliant-{label}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    _written[at] = spark
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    relation = out._jdf.queryExecution().analyzed().relation()  # shared by all plans made of it
+    _written[at] = (spark, spark._jvm.java.lang.ref.WeakReference(relation))
+    del relation
+    _since += 1
+    if _since >= SWEEP_EVERY:
+        _since = 0
+        spark._jvm.System.gc()
+        sweep()
+    return out
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -67,22 +81,30 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df for work that is long for its bytes: a scan of fewer partitions than there are cores, which is a small one,
-    is dealt out to all of them; any other stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def _delete(at: str) -> None:
+    spark, _ = _written.pop(at)
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session may have ended
+        pass
 
 
-def release() -> None:
-    """Delete the tables that written() made."""
-    for at, spark in list(_written.items()):
+def sweep() -> None:
+    """Delete the tables that no plan reads any more."""
+    for at, (_, reader) in list(_written.items()):
         try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            gone = reader is not None and reader.get() is None
         except Exception:  # the session may have ended
-            pass
-        _written.pop(at, None)
+            gone = True
+        if gone:
+            _delete(at)
+
+
+def release() -> None:
+    """Delete the tables that written() made; plans that read them can't run any more."""
+    for at in list(_written):
+        _delete(at)
 
 
 atexit.register(release)
