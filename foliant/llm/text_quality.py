@@ -1,13 +1,20 @@
 """Per-document text statistics, and what the lines of a document are: prose, list, table or junk.
 
-Method: tables and lists are told by the vertical alignment of delimiters (the same number of one delimiter, or
-gaps at the same columns, line after line), by the periodicity of line beginnings and by the autocorrelation of
-line lengths; these are combined with word, symbol, punctuation and common-word ratios into a kind for each
-line. A document is of the kind that fills most of its non-blank lines; running sentences are prose however
-they are laid out.
-
-Common words are those in most documents, counted over all documents; the list is at most COMMON_WORDS long,
-so it may be sent to every task. A document is judged by itself, in one pass over its own lines.
+Method: three measures of layout decide between prose, lists and tables, none of which knows a language.
+* Vertical delimiter alignment: a line with as many of the same delimiter as its neighbours, or with cells that begin
+  at the same columns, is a table's.
+* Periodicity of beginnings and forms: a line whose beginning (indent and marker) or whole form (letters, digits and
+  signs, each run as one) comes again a few lines on is a list's entry, if it is short.
+* Line lengths that follow each other: where lines end because the next word would not have fitted, running
+  text was wrapped; such runs are prose.
+Word, symbol and punctuation ratios decide the rest: sentences that end, lines of many words, signs and codes. Whether
+letters make words is judged by their order within the document and by their script: vowels and consonants take turns
+in scripts that have both, capitals begin words and stops end them. No list of words takes part, so a language that is
+rare in the corpus is treated like any other. A document is of the kind that fills most of its non-blank lines; running
+sentences are prose however they are laid out.
+
+Common words are those in most documents, counted over all documents, for the share that is reported; the list is at
+most COMMON_WORDS long, so it may be sent to every task. A document is judged by itself, in one pass over its own lines.
 
 Defined cases: null and blank texts have no kind and zero counts; ratios of nothing are 0; repeated rows and
 null ids come out as often as they came in; texts may be of any length; an empty table gives an empty result;
@@ -18,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,9 +41,14 @@ _MARKER = re.compile(r"\s*(?:[-*•·–—+>▪◦‣]|\[[ xX]?\]|\(?\d{1,4}[.)
 _RULE = re.compile(r"[\s|+\-=:¦_]*[-=_+|¦]{2}[\s|+\-=:¦_]*$")
 _GAP = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
 _SPACE = re.compile(r"\s+")
+_SENTENCES = re.compile(r"[^\W\d_][.!?…][\"'”’»)]*\s+\S")
+_ENDS = frozenset(".!?…。！？؟।")
 _HEX = re.compile(r"(?:[0-9A-Fa-f]{2,8}[: ]\s*)+[0-9A-Fa-f]{2,8}$")
 _LONG_RUN = re.compile(r"[A-Za-z0-9+/=_-]{32,}")
-_VOWELS = frozenset("aeiouyäöüáàâãåæéèêëíìîïóòôõøœúùûýÿāēīōūаеёиоуыэюяαεηιουω")
+#: Vowels, accents taken off, of the scripts that write vowels and consonants as letters alike: these are the letters
+#: below FIRST_OTHER.
+_VOWELS = frozenset("aeiouyæœøıаеёиоуыэюяєіїαεηιουω")
+FIRST_OTHER = 0x530
 _CELL = re.compile(r"[;|¦\t,]")
 
 
@@ -72,44 +85,62 @@ def _autocorrelation(x: np.ndarray, lag: int) -> float:
     return 1.0 if var < 1e-9 else float(x[:-lag] @ x[lag:]) / var
 
 
-def _aligned(lines: list[str], known: list[float], words: list[int]) -> tuple[float, list[bool]]:
+def _aligned(lines: list[str]) -> tuple[float, list[bool]]:
     """(share of lines in a table's columns, which lines). A line is in columns if a neighbour up to two lines
     away has as many of the same delimiter, or begins a cell after a gap at the same place."""
     n, text = len(lines), "\n".join(lines)
     best = [False] * n
+    if n == 1:
+        return 0.0, best
     for d in ("\t", "|", "¦", ";", ","):
         if d not in text:
             continue
         counts = [x.count(d) for x in lines]
         for i, c in enumerate(counts):
-            if c and not best[i] and (c in counts[max(0, i - 2) : i] or c in counts[i + 1 : i + 3] or n == 1 and c > 1):
+            if c and not best[i] and (c in counts[max(0, i - 2) : i] or c in counts[i + 1 : i + 3]):
                 # words after a delimiter and a blank are clauses, not cells
-                if d in ";," and (lines[i].count(d + " ") * 2 > c or lines[i].rstrip(_CLOSERS)[-1:] in (".", "!", "?", "…")):
+                if d in ";," and (lines[i].count(d + " ") * 2 > c or lines[i].rstrip(_CLOSERS)[-1:] in _ENDS):
                     continue
                 best[i] = c > 1 or d not in ";,|¦" or lines[i].count(" ") <= 4
     if "  " in text or "\t" in text:
-        starts = [{m.end() for m in _GAP.finditer(x)} if "  " in x or "\t" in x else () for x in lines]
+        starts, even = [], []
+        for x in lines:
+            gaps = list(_GAP.finditer(x)) if "  " in x or "\t" in x else []
+            starts.append({m.end() for m in gaps})
+            # the same gap after each word is a way to write words, not columns
+            even.append(len(gaps) > 2 and len({m.end() - m.start() for m in gaps}) == 1 and len(gaps) >= len(_SPACE.findall(x.strip())))
         for i, s in enumerate(starts):
-            # double spacing of sentences makes no columns, nor do gaps within many words
-            if s and not best[i] and (words[i] < 5 or known[i] < 0.5) and len(_SPACE.findall(lines[i].strip())) <= 2 * len(s) + 1:
+            if s and not best[i] and not even[i] and len(_SPACE.findall(lines[i].strip())) <= 2 * len(s) + 1:
                 near = set().union(*starts[max(0, i - 3) : i], *starts[i + 1 : i + 4])
                 best[i] = len(s & near) >= max(1, 0.6 * len(s))
     return sum(best) / n, best
 
 
 #: Classes of characters.
-_LETTER, _DIGIT, _STRANGE, _VOWEL, _SPACES = 1, 2, 4, 8, 16
-_WITH = {bit: np.array([c for c in range(32) if c & bit]) for bit in (1, 2, 4, 8, 16)}
+_LETTER, _DIGIT, _STRANGE, _VOWEL, _SPACES, _CAPITAL, _UNSPACED, _STOP, _JOINER = (1 << k for k in range(9))
+_CLASSES = 128  # of the first seven, which are counted by line
+_WITH = {bit: np.array([c for c in range(_CLASSES) if c & bit]) for bit in (1, 2, 4, 8, 16, 32, 64)}
 _ORDINARY = frozenset(".,;:!?'\"“”‘’«»()[]{}<>-–—_/|¦&%@*+=#…·•°§~^$€£\\")
 
 
 @functools.cache
 def _classes() -> np.ndarray:
     """The classes of each code point; those beyond the last are letters or strange as Python has them."""
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(0x110000, np.uint16)
     for i in range(0x110000):
         c = chr(i)
-        table[i] = _SPACES if c.isspace() else _LETTER | (_VOWEL if c.lower() in _VOWELS else 0) if c.isalpha() else _DIGIT if c.isdigit() else 0 if c in _ORDINARY else _STRANGE
+        if c.isspace():
+            table[i] = _SPACES
+        elif c.isalpha():
+            table[i] = _LETTER | (_VOWEL if i < 0x2000 and unicodedata.normalize("NFD", c.lower())[0] in _VOWELS else 0) | (_CAPITAL if c.isupper() else 0)
+            if 0xE00 <= i < 0x1100 or 0x1780 <= i < 0x1800 or i >= 0x2E80:  # scripts without blanks between words
+                table[i] |= _UNSPACED
+        elif c.isdigit():
+            table[i] = _DIGIT
+        elif i > 0xFF and unicodedata.category(c)[0] == "M":  # signs that make letters whole
+            table[i] = _LETTER
+        else:
+            table[i] = (_STOP if c in ".,;:!?" else 0) | (_JOINER if c in "'’@.()_" else 0) if c in _ORDINARY or c == "@" or i > 0x5FF and unicodedata.category(c)[0] == "P" and not 0x2000 <= i < 0x2E80 else _STRANGE
     return table
 
 
@@ -135,43 +166,72 @@ def _repeats(codes: np.ndarray) -> bool:
 
 
 class Words:
-    """The common words, and the pairs of letters that occur in them."""
+    """The common words."""
 
     def __init__(self, common: list[str] | frozenset):
         self.common = frozenset(common)
-        self.pairs = frozenset(a + b for w in self.common for a, b in zip(f" {w}", f"{w} "))
-
-    def babble(self, words: list[str], known: float, vowels: float) -> bool:
-        """Whether letters make no words: hardly a vowel, or letters in no order. Names and invented words are
-        spelled with the pairs of letters that the common words have."""
-        if known >= 0.15 or len(words) < 4 or sum(map(len, words)) < 20:
-            return False
-        if vowels < 0.15:
-            return True
-        pairs = odd = single = 0
-        for w in words:
-            single += len(w) == 1
-            for i in range(len(w) - 1):
-                odd += w[i : i + 2] not in self.pairs
-                pairs += 1
-        return odd > ODD_PAIRS * pairs or single > 0.2 * len(words)
-
-
-#: Share of pairs of letters unknown to the common words, beyond which letters stand in no order.
-ODD_PAIRS = 0.08
-
-
-def _line_kind_of_words(i: int, n: int, lines: list[str], sizes: list[int], width: list[int], marks: list[bool], end: bool, words: int, known: float) -> str:
-    t = lines[i].strip()
-    if end and known >= 0.2 and words >= 2:
-        return "prose"
-    # wrapped prose: the next line's first word would not have fitted
-    if i + 1 < n and not marks[i] and not marks[i + 1] and known >= 0.3 and len(t.split()) >= 4:
-        if sizes[i] + 1 + len(lines[i + 1].split(None, 1)[0]) > width[i]:
-            return "prose"
-    if not marks[i] and known >= 0.25 and words >= 12:
-        return "prose"
-    return "prose" if words == 0 and len(t) < 3 else "list"
+
+
+#: Share of vowels below which letters make no words, and the shares, added up, of words of one letter, of words with a
+#: capital or stop inside, and of words with four vowels or consonants in a row, beyond which they stand in no order.
+LEAST_VOWELS, MOST_DISORDER = 0.25, 0.33
+
+
+def _disordered(codes: np.ndarray, of: np.ndarray, on: np.ndarray) -> bool:
+    """Whether the letters of the characters that are `on` make no words. Only scripts of vowels and consonants can
+    tell. A capital after a small letter, a stop between letters and a letter that stands alone and numbers nothing are
+    out of order."""
+    letter = np.concatenate([[False], ((of & _LETTER) > 0) & on, [False] * 3])
+    starts = letter[1:] & ~letter[:-1]
+    words, letters = int(starts.sum()), int(letter.sum())
+    if words < 4 or letters < 20 or (codes[letter[1:-3]] >= FIRST_OTHER).mean() > 0.2:
+        return False
+    of = np.concatenate([[0], of, [0] * 3])
+    vowel = (of & _VOWEL) > 0
+    if vowel[letter].mean() < LEAST_VOWELS:
+        return True
+    # runs of four of one sort within a word
+    word = np.concatenate([[0], np.cumsum(starts)])
+    whole = letter[:-3] & letter[1:-2] & letter[2:-1] & letter[3:]
+    run = whole & (vowel[:-3] == vowel[1:-2]) & (vowel[1:-2] == vowel[2:-1]) & (vowel[2:-1] == vowel[3:])
+    clustered = max(0, len(np.unique(word[:-3][run])) - 2) / max(1, len(np.unique(word[:-3][whole])))
+    capital = (of & _CAPITAL) > 0
+    inner = (letter[:-1] & ~capital[:-1] & letter[1:] & capital[1:]).sum() + (letter[:-2] & ((of[1:-1] & _STOP) > 0) & letter[2:]).sum()
+    near = letter | ((of & (_DIGIT | _JOINER)) > 0)
+    inner += (letter[1:-1] & ~near[:-2] & ~near[2:]).sum()
+    return bool(clustered + inner / words > MOST_DISORDER)
+
+
+def _forms(codes: np.ndarray, of: np.ndarray) -> list[str]:
+    """The form of each line: runs of letters as a, of digits as 0, of blanks as one, other characters as they are."""
+    sort = codes.copy()
+    sort[(of & _LETTER) > 0], sort[(of & _DIGIT) > 0], sort[((of & _SPACES) > 0) & (codes != 10)] = map(ord, "a0 ")
+    keep = np.ones(len(sort), bool)
+    keep[1:] = (sort[1:] != sort[:-1]) | ((of[1:] & (_LETTER | _DIGIT | _SPACES)) == 0) | (sort[1:] == 10)
+    return sort[keep].tobytes().decode("utf-32-le", "surrogatepass").split("\n")
+
+
+def _wrapped(lines: list[str], sizes: list[int], marked: list[bool], ends: list[bool]) -> list[bool]:
+    """Lines of runs that were wrapped: the lengths of the lines follow from the width and the next line's first word.
+    A line's run is told by the lines up to four away that neither begin with a marker nor end a sentence."""
+    n = len(lines)
+    most = max(sizes)
+    width = [most] * n if n < 9 else [max(sizes[max(0, i - 8) : i + 9]) for i in range(n)]
+    full, asked = np.zeros(n + 1), np.zeros(n + 1)
+    for i in range(n - 1):
+        if not ends[i] and not marked[i + 1]:
+            first = lines[i + 1].split(None, 1)
+            asked[i + 1] = 1
+            full[i + 1] = sizes[i] + 1 + (len(first[0]) if len(first) > 1 else 2) > width[i]
+    full, asked = np.cumsum(full), np.cumsum(asked)
+    low, high = np.maximum(np.arange(n) - 4, 0), np.minimum(np.arange(n) + 5, n)
+    all_, some = asked[high] - asked[low], full[high] - full[low]
+    return ((all_ > 0) & (some >= 0.7 * all_) & (np.array(width) >= 20)).tolist()
+
+
+def _again(of: list[str | None]) -> list[bool]:
+    """Which items come again up to three places away."""
+    return [x is not None and (x in of[max(0, i - 3) : i] or x in of[i + 1 : i + 4]) for i, x in enumerate(of)]
 
 
 FIELDS = (
@@ -195,8 +255,8 @@ def measured(text: str | None, words_of: Words) -> tuple:
     of = _classes()[codes]
     sizes = [len(x) for x in lines]
     line = np.repeat(np.arange(n), [k + 1 for k in sizes])[:-1]
-    per = np.bincount(line * 32 + of, minlength=32 * n).reshape(n, 32)
-    letters, digits, strange, vowels = (per[:, _WITH[bit]].sum(1).tolist() for bit in (_LETTER, _DIGIT, _STRANGE, _VOWEL))
+    per = np.bincount(line * _CLASSES + (of & (_CLASSES - 1)), minlength=_CLASSES * n).reshape(n, _CLASSES)
+    letters, digits, strange, wide = (per[:, _WITH[bit]].sum(1).tolist() for bit in (_LETTER, _DIGIT, _STRANGE, _UNSPACED))
     bare = (per.sum(1) - per[:, _WITH[_SPACES]].sum(1)).tolist()
     words, count = _words(whole, codes, of, line, n)
     ends_at = np.cumsum(count).tolist()
@@ -205,19 +265,20 @@ def measured(text: str | None, words_of: Words) -> tuple:
     longer = [k - list(map(len, ws)).count(1) for k, ws in zip(count, parts)]
     is_common = common.__contains__
     hits = [sum(map(is_common, ws)) for ws in parts]
-    known = [h / k if k else 0.0 for h, k in zip(hits, longer)]
 
-    marks = [bool(_MARKER.match(x)) for x in lines]
+    marks = [_MARKER.match(x) for x in lines]
     last = [x.rstrip(_CLOSERS)[-1:] for x in lines]
-    ends = [c != "" and c in ".!?…" for c in last]
-    alignment, columns = _aligned(lines, known, count)
+    ends = [c != "" and c in _ENDS for c in last]
+    alignment, columns = _aligned(lines)
     widths = np.array(sizes, float)
-    begins = np.array([len(x) - len(x.lstrip()) + 4 * m for x, m in zip(lines, marks)], float)
-    period = max(_autocorrelation(begins, k) for k in (1, 2, 3)) if n > 4 and begins.any() else 0.0
-    most = max(sizes)
-    width = [most] * n if n < 9 else [max(sizes[max(0, i - 8) : i + 9]) for i in range(n)]
-
-    kinds = []
+    forms = _forms(codes, of)
+    many = [max(k, w / 2) for k, w in zip(count, wide)]
+    begins = [None if m is None else form_of[: max(1, len(form_of) - len(form_of.lstrip()) + 2)] for m, form_of in zip(marks, forms)]
+    entry = [a or b and k < 7 for a, b, k in zip(_again(begins), _again(forms), many)] if n > 1 else [m is not None for m in marks]
+    period = sum(entry) / n
+    wrapped = _wrapped(lines, sizes, [m is not None for m in marks], ends)
+
+    kinds: list[str | None] = []
     for i, x in enumerate(lines):
         k = bare[i]
         if (i and columns[i - 1] or i + 1 < n and columns[i + 1]) and _RULE.fullmatch(x.strip()):
@@ -226,29 +287,31 @@ def measured(text: str | None, words_of: Words) -> tuple:
             kinds.append("junk")
         elif k >= 12 and (digits[i] and _HEX.fullmatch(x.strip()) or len(set(x[:16])) <= 4 and len(set(x) - {" "}) <= 3):
             kinds.append("junk")
-        elif k >= 32 and count[i] <= 0.12 * k and _coded(x, k):
+        elif k >= 32 and count[i] <= 0.12 * k and wide[i] < 0.5 * k and _coded(x, k):
             kinds.append("junk")
-        elif columns[i] and not (ends[i] and known[i] > 0.3 and _CELL.search(x) is None):
+        elif entry[i] and marks[i] and not (many[i] >= 12 and _SENTENCES.search(x)):
+            kinds.append("list")
+        elif columns[i]:
             kinds.append("table")
+        elif ends[i] and many[i] >= 3:
+            kinds.append("prose")
+        elif entry[i] and not marks[i]:
+            kinds.append("list")
+        elif wrapped[i] and many[i] >= 2 or many[i] >= 7 or many[i] == 0 and k < 3:
+            kinds.append("prose")
         else:
-            kinds.append(_line_kind_of_words(i, n, lines, sizes, width, marks, ends[i], count[i], known[i]))
-    # a paragraph's last line goes with the lines before it, where those are prose
-    for i in range(1, n):
-        if kinds[i] == "list" and kinds[i - 1] == "prose" and not marks[i] and not ends[i - 1] and (ends[i] or i + 1 == n):
-            kinds[i] = "prose"
+            kinds.append(None)
+    # short lines with nothing of their own go with the ones around them: a heading or a paragraph's last line with
+    # running text, any other with the entries
+    running = kinds.count("prose") > kinds.count("list")
+    kinds = [k or ("prose" if running else "list") for k in kinds]
 
     total, chars = sum(count), sum(map(len, words))
     share = sum(hits) / max(1, sum(longer))
     found = Counter(kinds)
     if found["table"] * 2 <= n:
         own = [i for i, k in enumerate(kinds) if k != "table"]
-        some = [w for i in own for w in parts[i]]
-        part = sum(hits[i] for i in own) / max(1, sum(longer[i] for i in own))
-        if (
-            len(own) == n >= 12 and len(set(lines)) * 8 <= n
-            or _repeats(codes[(of & _SPACES) == 0])
-            or words_of.babble(some, part, sum(vowels[i] for i in own) / max(1, sum(letters[i] for i in own)))
-        ):
+        if len(own) == n >= 12 and len(set(lines)) * 8 <= n or _repeats(codes[(of & _SPACES) == 0]) or _disordered(codes, of, np.array([k != "table" for k in kinds])[line]):
             found = Counter(junk=len(own), table=n - len(own))
     kind = max(("prose", "list", "table", "junk"), key=lambda k: found[k])
     punctuated = sum(c != "" and c in ".!?…:;" for c in last) / n

@@ -1,5 +1,6 @@
 import datetime
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -312,6 +313,49 @@ def test_kinds(text, kind):
     assert text_quality.measured(text, text_quality.Words(COMMON))[-1] == kind
 
 
+SCRIPTS = {
+    "el": "Ο αναγνώστης ακολουθεί τη σειρά των γραμμών. Είναι δύσκολο να αποφασίσει κανείς ανάμεσα στα δύο. Ο γραφέας κρατά τη συνήθεια του πρώτου χεριού.",
+    "ru": "Читатель следует порядку строк. Трудно выбрать между двумя, и писец сохраняет привычку первой руки. На этой странице видны следы стёртой строки.",
+    "zh": "读者按照行的顺序阅读。在两者之间很难作出决定。抄写员保留了第一只手的习惯。这一页上可以看到被擦去的一行的痕迹。",
+    "pl": "Czytelnik podąża za kolejnością wierszy. Trudno zdecydować między nimi, a skryba zachowuje zwyczaj pierwszej ręki. Na tej stronie widać ślady startego wiersza.",
+    "fi": "Lukija seuraa rivien järjestystä. On vaikea päättää näiden kahden välillä, ja kirjuri säilyttää ensimmäisen käden tavan. Sivulla näkyy jälkiä poistetusta rivistä.",
+    "ar": "يتبع القارئ ترتيب السطور. من الصعب الاختيار بين الاثنين، ويحافظ الناسخ على عادة اليد الأولى. تظهر في هذه الصفحة آثار سطر ممحو.",
+    "hi": "पाठक पंक्तियों के क्रम का पालन करता है। दोनों के बीच निर्णय लेना कठिन है। लिपिक पहले हाथ की आदत रखता है।",
+    "he": "הקורא עוקב אחר סדר השורות. קשה להחליט בין השניים, והסופר שומר על הרגל היד הראשונה. בדף זה נראים עקבות של שורה מחוקה.",
+    "ja": "読者は行の順序に従う。二つのうちどちらかを決めるのは難しい。書記は最初の手の習慣を守る。このページには消された行の跡が見える。",
+    "th": "ผู้อ่านตามลำดับของบรรทัด ยากที่จะตัดสินใจระหว่างสองอย่าง ผู้คัดลอกรักษานิสัยของมือแรก",
+    "cs": "Čtenář sleduje pořadí řádků. Je těžké rozhodnout mezi oběma, a písař zachovává zvyk první ruky. Na této stránce jsou vidět stopy vymazaného řádku.",
+    "ko": "독자는 줄의 순서를 따른다. 둘 사이에서 결정하기 어렵다. 필경사는 첫 번째 손의 습관을 지킨다. 이 면에는 지워진 줄의 흔적이 보인다.",
+}
+
+
+@pytest.mark.parametrize("text", SCRIPTS.values(), ids=SCRIPTS)
+def test_prose_of_any_script_is_prose(text):
+    """Without one common word known: in one line, a sentence a line, and wrapped."""
+    wrapped = "\n".join(text[i : i + 24] for i in range(0, len(text), 24)) if " " not in text[:20] else textwrap.fill(text, 34)
+    for t in (text, text.replace(". ", ".\n").replace("。", "。\n"), wrapped, text.lower()):
+        assert text_quality.measured(t, text_quality.Words([]))[-1] == "prose"
+
+
+@pytest.mark.parametrize("name", ["el", "ru", "pl", "fi", "cs"])
+def test_letters_in_no_order_are_junk(name):
+    text = list(SCRIPTS[name] * 2)
+    random.Random(1).shuffle(text)
+    assert text_quality.measured("".join(text), text_quality.Words([]))[-1] == "junk"
+
+
+def test_kinds_follow_from_layout_and_not_from_words():
+    """Invented words, in the four layouts."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("bdklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))
+    words = [word() for _ in range(400)]
+    kind = lambda t: text_quality.measured(t, text_quality.Words([]))[-1]
+    assert kind(textwrap.fill(" ".join(words), 60)) == "prose"
+    assert kind("\n".join(f"- {a} {b}" for a, b in zip(words, words[1:]))) == "list"
+    assert kind("\n".join(f"{a:<12}{b:<12}{c}" for a, b, c in zip(words, words[1:], words[2:]))) == "table"
+    assert kind("\n".join(f"{a},{b},{c}" for a, b, c in zip(words, words[1:], words[2:]))) == "table"
+
+
 def test_statistics(spark):
     rows = [(1, "The two hands - the scribe.\nkeim"), (2, None), (2, None), (None, "x " * 100_000 + "."), (4, "")]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, kind string, words int")
