@@ -9,11 +9,14 @@ probes with its n // 9 + 1 disjoint n-grams only, and those are chosen to be the
 n-grams out of the join wherever a record has others; the index holds every n-gram of every evaluation record.
 No pair is lost: records shorter than the least length are no case, and every longer one has enough n-grams.
 
-A table of fixed size holds the frequencies of the index' n-grams: it chooses the probes and drops those that hit
-nothing. N-grams meet by a 32-bit hash, since a false hit ends in the join's checks. Every entry carries a 128-bit mark of its text's character pairs; one edit changes at most four
-of its bits, so most pairs that share an n-gram by chance end in the join itself.
+A table of the frequencies of the index' n-grams, as large as the index needs up to 2 ** MOST_BITS slots, chooses the
+probes and drops those that hit nothing; where it is full it still tells frequent n-grams from rare ones. N-grams meet
+by a 64-bit hash. Every entry carries a 128-bit mark of its text's character pairs; one edit changes at most four of its
+bits, so most pairs that share an n-gram by chance end in the join itself. Long texts are cut into stretches
+of about STRETCH characters, each of which picks its share of the probes.
 
-Copies of one text are one entry of the join; their pairs come out where the records are joined back.
+Copies of one text are one entry of the join, known by 128 bits of hash and numbered once written; their pairs come
+out where the records are joined back.
 
 Defined cases: null, empty and short texts take no part; records of unknown pages or splits take no part;
 repeated deliveries count once (the last); ties at exactly a tenth count; texts may be of any length; an empty
@@ -36,8 +39,10 @@ from foliant.session import written
 #: characters from MIN_LENGTH on.
 GRAM = 7
 MIN_LENGTH = 40
-#: Log2 of the slots of the table of n-gram frequencies, which takes 1 MB whatever the input.
-SKETCH_BITS = 18
+#: Log2 of the slots of the table of n-gram frequencies, at least and at most: four slots for each n-gram between.
+LEAST_BITS, MOST_BITS = 12, 20
+#: Characters of a stretch, a multiple of 9; the last one of a text is half to one and a half times as long.
+STRETCH = 1800
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,14 +93,14 @@ def _marks(codes: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     return words[:, 0], words[:, 1]
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _rows(side: str, g: np.ndarray, ids: np.ndarray, pos: np.ndarray, n: np.ndarray, marks: tuple[np.ndarray, np.ndarray], text: np.ndarray) -> pa.RecordBatch:
     """Entries of n-grams g at pos of the texts numbered `text`; place holds the position and the text's length."""
     place = (pos.astype(np.int64) << 32) | n[text]
-    columns = [(g >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[text], place, marks[0][text], marks[1][text]]
+    columns = [g.view(np.int64), ids[text], place, marks[0][text], marks[1][text]]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", *[f"{side}_{c}" for c in ("id", "place", "m0", "m1")]])
 
 
@@ -115,15 +120,26 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows("eval", h[start[text] + pos], b.column("text_id").to_numpy(), pos, n, _marks(codes, start, n), text)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for b in batches:
-        if b.num_rows:
-            h, start, n, _ = _texts(b)
-            many, pos = _every(start, n)
-            total += np.bincount(_slot(h[np.repeat(start, many) + pos]), minlength=1 << SKETCH_BITS)
-    slot = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+def _counts(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            if b.num_rows:
+                h, start, n, _ = _texts(b)
+                many, pos = _every(start, n)
+                total += np.bincount(_slot(h[np.repeat(start, many) + pos], bits), minlength=1 << bits)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "n"])
+
+    return run
+
+
+def _stretches(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first place, length) of the stretches of texts of n characters."""
+    many = np.maximum((n - STRETCH // 2) // STRETCH, 0) + 1
+    text = np.repeat(np.arange(len(n)), many)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    return text, k * STRETCH, np.where(k == many[text] - 1, n[text] - k * STRETCH, STRETCH)
 
 
 def _rarest(cost: np.ndarray, picks: int) -> np.ndarray:
@@ -150,7 +166,7 @@ def _rarest(cost: np.ndarray, picks: int) -> np.ndarray:
     return starts
 
 
-def _probes(counts: np.ndarray):
+def _probes(counts: np.ndarray, bits: int):
     cost_of = counts + np.float32(1)  # the sum over a text's n-grams is the number of hits it will have
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,19 +175,19 @@ def _probes(counts: np.ndarray):
                 continue
             h, start, n, codes = _texts(b)
             ids, marks = b.column("text_id").to_numpy(), _marks(codes, start, n)
-            for length in np.unique(n):
-                # long texts go in smaller groups: the tables take picks x length x rows
-                own = np.flatnonzero(n == length)
-                picks, width = int(length // 9 + 1), int(length - GRAM + 1)
-                step = max(1, 4_000_000 // (picks * width))
+            text, first, length = _stretches(n)
+            last = first + length == n[text]
+            # stretches of one length go together; a last one picks one n-gram more than the ninth of its length
+            for size, final in np.unique(np.stack([length, last]), axis=1).T.tolist():
+                own = np.flatnonzero((length == size) & (last == final))
+                picks, width = size // 9 + final, size - GRAM + 1
+                step = max(1, 4_000_000 // (picks * width))  # the tables of the choice take picks x width x rows
                 for some in np.split(own, range(step, len(own), step)):
-                    if picks * width > 4_000_000:  # one text alone is too long for a table: evenly spaced picks
-                        starts = np.tile(np.arange(picks) * (length // picks), (len(some), 1))
-                    else:
-                        starts = _rarest(cost_of[_slot(h[start[some][:, None] + np.arange(width)])], picks)
-                    g = h[start[some][:, None] + starts].ravel()
-                    hits = np.flatnonzero(counts[_slot(g)])  # where the table is empty, so is the index
-                    yield _rows("train", g[hits], ids, starts.ravel()[hits], n, marks, np.repeat(some, picks)[hits])
+                    at = start[text[some]] + first[some]
+                    starts = _rarest(cost_of[_slot(h[at[:, None] + np.arange(width)], bits)], picks)
+                    g = h[at[:, None] + starts].ravel()
+                    hits = np.flatnonzero(counts[_slot(g, bits)])  # where the table is empty, so is the index
+                    yield _rows("train", g[hits], ids, (starts + first[some][:, None]).ravel()[hits], n, marks, np.repeat(text[some], picks)[hits])
 
     return run
 
@@ -180,13 +196,15 @@ def near_pairs(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     """(train_id, eval_id, train_text, eval_text, edits) of all pairs of texts (text_id, text) of MIN_LENGTH or
     more characters whose edit distance is at most a tenth of the longer one's length."""
     spark = train.sparkSession
-    found = evaluation.select("text").mapInArrow(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = found.toPandas()  # at most 2 ** SKETCH_BITS rows
-    counts = np.zeros(1 << SKETCH_BITS, np.float32)
+    grams = evaluation.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, int(4 * grams).bit_length()))
+    found = evaluation.select("text").mapInArrow(_counts(bits), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = found.toPandas()  # at most 2 ** MOST_BITS rows
+    counts = np.zeros(1 << bits, np.float32)
     counts[found["slot"]] = found["n"]
     frequencies = spark.sparkContext.broadcast(counts)
-    schema = "gram int, {0}_id long, {0}_place long, {0}_m0 long, {0}_m1 long"
-    probes = train.select("text_id", "text").mapInArrow(lambda it: _probes(frequencies.value)(it), schema.format("train"))
+    schema = "gram long, {0}_id long, {0}_place long, {0}_m0 long, {0}_m1 long"
+    probes = train.select("text_id", "text").mapInArrow(lambda it: _probes(frequencies.value, bits)(it), schema.format("train"))
     index = evaluation.select("text_id", "text").mapInArrow(_index, schema.format("eval"))
     at, size = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
     longer = F.greatest(size("eval_place"), size("train_place"))
@@ -218,11 +236,19 @@ def cross_split_overlaps(loci: DataFrame, leaf_split: DataFrame, special_pages:
     """(train_record, eval_record, split, transcription_id, edits, containment): every pair of a train record
     and a validation or test record whose plain texts are the same or nearly so."""
     rows = with_split(loci, leaf_split, special_pages).where(F.length("text") >= MIN_LENGTH)
-    rows = written(rows.select("record_id", "transcription_id", "split", "text", F.xxhash64("text").alias("text_id")), "split-texts")
+    known_by = ("h1", "h2")
+    rows = written(rows.select("record_id", "transcription_id", "split", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")), "split-texts")
     train, evaluation = rows.where("split = 'train'"), rows.where("split in ('validation', 'test')")
-    texts = rows.groupBy("text_id", (F.col("split") == "train").alias("train")).agg(F.first("text").alias("text"))
-    texts = written(texts, "texts")
+    texts = rows.groupBy(*known_by, (F.col("split") == "train").alias("train")).agg(F.first("text").alias("text"))
+    # the numbers are fixed once they are written
+    texts = written(texts.withColumn("text_id", F.monotonically_increasing_id()), "texts")
     near = near_pairs(texts.where("train"), texts.where("not train")).select("train_id", "eval_id", "edits", containment("eval_text", "train_text").alias("containment"))
-    a = train.select(F.col("text_id").alias("train_id"), F.col("record_id").alias("train_record"))
-    b = evaluation.select(F.col("text_id").alias("eval_id"), F.col("record_id").alias("eval_record"), "split", "transcription_id")
-    return near.join(a, "train_id").join(b, "eval_id").select("train_record", "eval_record", "split", "transcription_id", "edits", "containment")
+
+    def named(pairs: DataFrame, side: str, records: DataFrame) -> DataFrame:
+        """pairs with the records that hold the texts of one side."""
+        hashes = texts.where("train" if side == "train" else "not train").select(F.col("text_id").alias(f"{side}_id"), *known_by)
+        return pairs.join(hashes, f"{side}_id").join(records, list(known_by)).drop(f"{side}_id", *known_by)
+
+    pairs = named(near, "train", train.select(*known_by, F.col("record_id").alias("train_record")))
+    pairs = named(pairs, "eval", evaluation.select(*known_by, F.col("record_id").alias("eval_record"), "split", "transcription_id"))
+    return pairs.select("train_record", "eval_record", "split", "transcription_id", "edits", "containment")

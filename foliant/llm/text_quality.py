@@ -144,20 +144,29 @@ def _classes() -> np.ndarray:
     return table
 
 
-def _words(text: str, codes: np.ndarray, of: np.ndarray, line: np.ndarray, lines: int) -> tuple[list[str], list[int]]:
-    """(the words in lower case, how many each line has): runs of letters, with single apostrophes inside."""
+def _words(codes: np.ndarray, of: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(where words begin, where they end, how many each line has): runs of letters, with single apostrophes inside."""
     letter = np.zeros(len(of) + 2, bool)
     letter[1:-1] = (of & _LETTER) > 0
     inner = np.flatnonzero((codes == 0x27) | (codes == 0x2019)) + 1
     inner = inner[letter[inner - 1] & letter[inner + 1]]
     letter[inner] = True
     edges = np.flatnonzero(letter[1:] != letter[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    count = np.bincount(line[starts], minlength=lines).tolist()
-    lower = text.lower()
-    if len(lower) == len(text):
-        return [lower[a:b] for a, b in zip(starts.tolist(), ends.tolist())], count
-    return [text[a:b].lower() for a, b in zip(starts.tolist(), ends.tolist())], count
+    return edges[::2], edges[1::2], np.bincount(line[edges[::2]], minlength=lines).tolist()
+
+
+def _common_share(text: str, starts: np.ndarray, ends: np.ndarray, common: frozenset) -> float:
+    """Share of the words of two letters or more that are common ones."""
+    if not common:
+        return 0.0
+    lower = text.lower() if len(text.lower()) == len(text) else None
+    spans = zip(starts.tolist(), ends.tolist())
+    words = [lower[a:b] for a, b in spans] if lower else [text[a:b].lower() for a, b in spans]
+    return sum(map(common.__contains__, words)) / max(1, int((ends - starts > 1).sum()))
+
+
+def _distinct(ascending: np.ndarray) -> int:
+    return int((ascending[1:] != ascending[:-1]).sum()) + 1 if len(ascending) else 0
 
 
 def _repeats(codes: np.ndarray) -> bool:
@@ -194,7 +203,7 @@ def _disordered(codes: np.ndarray, of: np.ndarray, on: np.ndarray) -> bool:
     word = np.concatenate([[0], np.cumsum(starts)])
     whole = letter[:-3] & letter[1:-2] & letter[2:-1] & letter[3:]
     run = whole & (vowel[:-3] == vowel[1:-2]) & (vowel[1:-2] == vowel[2:-1]) & (vowel[2:-1] == vowel[3:])
-    clustered = max(0, len(np.unique(word[:-3][run])) - 2) / max(1, len(np.unique(word[:-3][whole])))
+    clustered = max(0, _distinct(word[:-3][run]) - 2) / max(1, _distinct(word[:-3][whole]))
     capital = (of & _CAPITAL) > 0
     inner = (letter[:-1] & ~capital[:-1] & letter[1:] & capital[1:]).sum() + (letter[:-2] & ((of[1:-1] & _STOP) > 0) & letter[2:]).sum()
     near = letter | ((of & (_DIGIT | _JOINER)) > 0)
@@ -258,13 +267,7 @@ def measured(text: str | None, words_of: Words) -> tuple:
     per = np.bincount(line * _CLASSES + (of & (_CLASSES - 1)), minlength=_CLASSES * n).reshape(n, _CLASSES)
     letters, digits, strange, wide = (per[:, _WITH[bit]].sum(1).tolist() for bit in (_LETTER, _DIGIT, _STRANGE, _UNSPACED))
     bare = (per.sum(1) - per[:, _WITH[_SPACES]].sum(1)).tolist()
-    words, count = _words(whole, codes, of, line, n)
-    ends_at = np.cumsum(count).tolist()
-    parts = [words[e - k : e] for k, e in zip(count, ends_at)]
-    # words of two letters or more
-    longer = [k - list(map(len, ws)).count(1) for k, ws in zip(count, parts)]
-    is_common = common.__contains__
-    hits = [sum(map(is_common, ws)) for ws in parts]
+    starts, stops, count = _words(codes, of, line, n)
 
     marks = [_MARKER.match(x) for x in lines]
     last = [x.rstrip(_CLOSERS)[-1:] for x in lines]
@@ -306,12 +309,12 @@ def measured(text: str | None, words_of: Words) -> tuple:
     running = kinds.count("prose") > kinds.count("list")
     kinds = [k or ("prose" if running else "list") for k in kinds]
 
-    total, chars = sum(count), sum(map(len, words))
-    share = sum(hits) / max(1, sum(longer))
+    total, chars = sum(count), int((stops - starts).sum())
+    share = _common_share(whole, starts, stops, common)
     found = Counter(kinds)
     if found["table"] * 2 <= n:
         own = [i for i, k in enumerate(kinds) if k != "table"]
-        if len(own) == n >= 12 and len(set(lines)) * 8 <= n or _repeats(codes[(of & _SPACES) == 0]) or _disordered(codes, of, np.array([k != "table" for k in kinds])[line]):
+        if len(own) == n >= 12 and len(set(lines)) * 8 <= n or len(set(whole)) <= 32 and _repeats(codes[(of & _SPACES) == 0]) or _disordered(codes, of, np.array([k != "table" for k in kinds])[line]):
             found = Counter(junk=len(own), table=n - len(own))
     kind = max(("prose", "list", "table", "junk"), key=lambda k: found[k])
     punctuated = sum(c != "" and c in ".!?…:;" for c in last) / n
