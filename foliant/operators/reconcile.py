@@ -2,12 +2,14 @@
 
 Method: each side's current version of every row becomes an item (key hash, row hash) in the invertible Bloom
 lookup table of its key's bucket. Both sides' tables are built in one aggregation with opposite signs, which
-subtracts them: equal rows cancel. Each bucket's cells are peeled, which reveals the keys that differ; a bucket
-that holds more differences than its cells can give back is taken whole, so that the result is exact at any
-rate of differences. Only rows of revealed keys are then fetched, and compared field by field.
+subtracts them: equal rows cancel, and do so where their hashes meet, before a cell is filled. Each bucket's cells
+are peeled, which reveals the keys that differ; a bucket that holds more differences than its cells can give back is
+taken whole, so that the result is exact at any rate of differences. Only rows of revealed keys are then fetched, and
+compared field by field.
 
-What moves: of every row 41 bytes to its bucket, once; whole rows only where they differ. A bucket's cells are
-aggregated on the map side of nothing but its own rows, so no key, source or bucket can grow beyond its share.
+What moves: versions of a key are combined on the map side, then hashes of every key move once, as its versions must
+meet; items only of rows that differ; whole rows only where they differ. However many versions a key has, a task
+sends one, and buckets hold keys by hash, so no key, source or bucket can grow beyond its share.
 
 Defined cases: a null in a key field equals an empty string there; strings are compared trimmed of U+0020, and
 empty equals null; repeated rows and versions of a key count once, the last by version (ties: the greatest row
@@ -100,11 +102,12 @@ def _reveal(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
 
 def differing_keys(left: DataFrame, right: DataFrame, buckets: int) -> DataFrame:
     """(bucket, kh) of hashed rows that differ; kh is null for a bucket to be taken whole."""
-    # one exchange: both aggregations and the peeling are clustered by the bucket
-    both = left.union(right).repartition("bucket")
-    current = both.groupBy("bucket", "side", "kh", "kh2").agg(F.max("v").alias("v"))
-    items = current.select("bucket", "side", "kh", F.col("v.rh").alias("rh"), F.explode(_cells(F.col("v.rh"))).alias("cell"))
-    table = items.groupBy("bucket", "cell").agg(
+    last = lambda side: F.max(F.when(F.col("side") == side, F.col("v")))
+    current = left.union(right).groupBy("bucket", "kh", "kh2").agg(last(1).alias("l"), last(-1).alias("r")).where(~F.col("l.rh").eqNullSafe(F.col("r.rh")))
+    both = F.filter(F.array(F.struct(F.lit(1).alias("side"), F.col("l.rh").alias("rh")), F.struct(F.lit(-1).alias("side"), F.col("r.rh").alias("rh"))), lambda x: x["rh"].isNotNull())
+    items = current.select("bucket", "kh", F.inline(both)).repartition("bucket")  # one exchange for cells and peeling
+    cells = items.select("bucket", "side", "kh", "rh", F.explode(_cells(F.col("rh"))).alias("cell"))
+    table = cells.groupBy("bucket", "cell").agg(
         F.sum("side").alias("n"), F.bit_xor("kh").alias("kx"), F.bit_xor("rh").alias("rx"), F.bit_xor(_check(F.col("rh"))).alias("cx")
     )
     left_over = table.where("n <> 0 or kx <> 0 or rx <> 0 or cx <> 0")

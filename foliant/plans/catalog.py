@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from foliant.plans import cipher_queries, corpus_queries, general, model_queries, source_queries, split_queries, summary_queries
+from foliant.plans import cipher_queries, corpus_queries, general, model_queries, selection_queries, source_queries, split_queries, summary_queries
 
 FLAGSHIP = "conditional_entropy_1"
-QUERIES = {**general.QUERIES, **corpus_queries.QUERIES, **model_queries.QUERIES, **split_queries.QUERIES, **source_queries.QUERIES, **cipher_queries.QUERIES, **summary_queries.QUERIES}
-ORACLE = {**general.ORACLE, **corpus_queries.ORACLE, **model_queries.ORACLE, **split_queries.ORACLE, **source_queries.ORACLE, **cipher_queries.ORACLE, **summary_queries.ORACLE}
+_MODULES = (general, corpus_queries, model_queries, split_queries, source_queries, cipher_queries, summary_queries, selection_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
