@@ -48,7 +48,9 @@ def alphabet_key(words: DataFrame, seed: int) -> DataFrame:
 
 
 def glyph(prefix: str, number: Column) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), 4, "0"))
+    """The prefix and the number, in four digits or as many as it takes."""
+    digits = number.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
 
 
 def number_of(g: Column) -> Column:

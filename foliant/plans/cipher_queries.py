@@ -93,6 +93,9 @@ def affix_slots(spark, sf):
     return v.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"))
 
 
-@query()
+_JOINED = "sha256(array_to_string(list({} order by {}), chr(10)))"
+
+
+@query(_VARIANT["recurrence"] + f", ln as (select line, {_JOINED.format(chr(39) + chr(39) + ' || concat_ws(' + chr(39) + '|' + chr(39) + ', token, word, variant)', 'token')} as h from v group by line), pt as (select line // 4096 as p, {_JOINED.format('h', 'line')} as h from ln group by p) select {_JOINED.format('h', 'p')} as sha256 from pt")
 def variant_stream_hash(spark, sf):
     return K.stream_hash(K.variants(K.plain_words(table(spark, sf, "loci")), "recurrence"), "word", "variant")
