@@ -13,7 +13,9 @@ A table of the frequencies of the index' n-grams, as large as the index needs up
 probes and drops those that hit nothing; where it is full it still tells frequent n-grams from rare ones. N-grams meet
 by a 64-bit hash. Every entry carries a 128-bit mark of its text's character pairs; one edit changes at most four of its
 bits, so most pairs that share an n-gram by chance end in the join itself. Long texts are cut into stretches
-of about STRETCH characters, each of which picks its share of the probes.
+of about STRETCH characters, each of which picks its share of the probes. The entries of an n-gram that the
+index holds more than HOT times are dealt out by text, and the few probes with it meet all of these parts; the
+join has as many partitions as its entries need.
 
 Copies of one text are one entry of the join, known by 128 bits of hash and numbered once written; their pairs come
 out where the records are joined back.
@@ -41,6 +43,8 @@ GRAM = 7
 MIN_LENGTH = 40
 #: Log2 of the slots of the table of n-gram frequencies, at least and at most: four slots for each n-gram between.
 LEAST_BITS, MOST_BITS = 12, 20
+#: Entries of one n-gram that one part takes, about, and entries of one partition of the join.
+HOT, PART = 20_000, 1_000_000
 #: Characters of a stretch, a multiple of 9; the last one of a text is half to one and a half times as long.
 STRETCH = 1800
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -110,14 +114,29 @@ def _every(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return many, np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(counts: np.ndarray) -> np.ndarray:
+    """How many parts the entries of each slot are dealt out to."""
+    return (counts // HOT + 1).astype(np.int64)
+
+
+def _salted(g: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return g + part.astype(np.uint64) * _MIX
+
+
+def _index(counts: np.ndarray, bits: int):
     """Every n-gram of each text."""
-    for b in batches:
-        if b.num_rows:
-            h, start, n, codes = _texts(b)
-            many, pos = _every(start, n)
-            text = np.repeat(np.arange(len(n)), many)
-            yield _rows("eval", h[start[text] + pos], b.column("text_id").to_numpy(), pos, n, _marks(codes, start, n), text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = _parts(counts)
+        for b in batches:
+            if b.num_rows:
+                h, start, n, codes = _texts(b)
+                many, pos = _every(start, n)
+                text = np.repeat(np.arange(len(n)), many)
+                g, ids = h[start[text] + pos], b.column("text_id").to_numpy()
+                yield _rows("eval", _salted(g, ids[text] % parts[_slot(g, bits)]), ids, pos, n, _marks(codes, start, n), text)
+
+    return run
 
 
 def _counts(bits: int):
@@ -167,9 +186,8 @@ def _rarest(cost: np.ndarray, picks: int) -> np.ndarray:
 
 
 def _probes(counts: np.ndarray, bits: int):
-    cost_of = counts + np.float32(1)  # the sum over a text's n-grams is the number of hits it will have
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost_of, parts = counts + np.float32(1), _parts(counts)  # the sum over a text's n-grams is the number of hits it will have
         for b in batches:
             if not b.num_rows:
                 continue
@@ -186,8 +204,11 @@ def _probes(counts: np.ndarray, bits: int):
                     at = start[text[some]] + first[some]
                     starts = _rarest(cost_of[_slot(h[at[:, None] + np.arange(width)], bits)], picks)
                     g = h[at[:, None] + starts].ravel()
-                    hits = np.flatnonzero(counts[_slot(g, bits)])  # where the table is empty, so is the index
-                    yield _rows("train", g[hits], ids, (starts + first[some][:, None]).ravel()[hits], n, marks, np.repeat(text[some], picks)[hits])
+                    # where the table is empty, so is the index; a hot n-gram asks each part
+                    asks = np.where(counts[_slot(g, bits)] > 0, parts[_slot(g, bits)], 0)
+                    part = np.arange(asks.sum()) - np.repeat(np.cumsum(asks) - asks, asks)
+                    hits = np.repeat(np.arange(len(g)), asks)
+                    yield _rows("train", _salted(g[hits], part), ids, (starts + first[some][:, None]).ravel()[hits], n, marks, np.repeat(text[some], picks)[hits])
 
     return run
 
@@ -197,6 +218,8 @@ def near_pairs(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     more characters whose edit distance is at most a tenth of the longer one's length."""
     spark = train.sparkSession
     grams = evaluation.agg(F.sum(F.length("text"))).first()[0] or 0
+    probed = train.agg(F.sum(F.length("text"))).first()[0] or 0
+    partitions = max(1, -(-(grams + probed // 9) // PART))
     bits = min(MOST_BITS, max(LEAST_BITS, int(4 * grams).bit_length()))
     found = evaluation.select("text").mapInArrow(_counts(bits), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     found = found.toPandas()  # at most 2 ** MOST_BITS rows
@@ -205,11 +228,11 @@ def near_pairs(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     frequencies = spark.sparkContext.broadcast(counts)
     schema = "gram long, {0}_id long, {0}_place long, {0}_m0 long, {0}_m1 long"
     probes = train.select("text_id", "text").mapInArrow(lambda it: _probes(frequencies.value, bits)(it), schema.format("train"))
-    index = evaluation.select("text_id", "text").mapInArrow(_index, schema.format("eval"))
+    index = evaluation.select("text_id", "text").mapInArrow(lambda it: _index(frequencies.value, bits)(it), schema.format("eval"))
     at, size = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
     longer = F.greatest(size("eval_place"), size("train_place"))
     apart = F.bit_count(F.col("eval_m0").bitwiseXOR(F.col("train_m0"))) + F.bit_count(F.col("eval_m1").bitwiseXOR(F.col("train_m1")))
-    hits = index.join(probes, "gram").where(
+    hits = index.repartition(partitions, "gram").join(probes.repartition(partitions, "gram"), "gram").where(
         (F.abs(at("eval_place") - at("train_place")) * 10 <= longer) & (F.abs(size("eval_place") - size("train_place")) * 10 <= longer) & (apart <= 4 * F.floor(longer / 10))
     )
     pairs = hits.select("train_id", "eval_id").distinct()

@@ -65,6 +65,27 @@ def test_overlaps_against_brute_force(spark):
     assert overlaps(spark, loci) == sorted([*expected, (1006, 1007, 1)]) and len(expected) > 30
 
 
+def test_overlaps_with_hot_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT", 3)
+    same = "the order of the lines and the root of the plant"
+    loci = [(i, "f1r", f"{same} {i}") for i in range(20)] + [(100 + i, "f2r", f"{same} {i}") for i in range(20)]
+    got = overlaps(spark, loci)
+    assert got == sorted((i, 100 + j, edit_distance(str(i), str(j))) for i in range(20) for j in range(20))
+
+
+def test_overlaps_of_long_texts(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(9000)).replace("  ", " a").strip()
+    edits = list(text)
+    for k in range(0, len(text), 12):
+        edits[k] = "z"
+    far = list(text)
+    for k in range(0, len(text), 8):
+        far[k] = "z"
+    assert overlap._stretches(np.array([40, 2699, 2700, 9000]))[2].tolist() == [40, 2699, 1800, 900, 1800, 1800, 1800, 1800, 1800]
+    assert [(a, b) for a, b, _ in overlaps(spark, [(1, "f1r", text), (2, "f2r", "".join(edits)), (3, "f3r", "".join(far))])] == [(1, 2)]
+
+
 def test_overlaps_of_nothing(spark):
     assert overlaps(spark, []) == [] and overlaps(spark, [(1, "f1r", "a" * 60)]) == []
 
