@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import consensus, encode, grouped_split, overlap, packing, term_counts, text_quality
-from foliant.session import table
+from foliant.operators import compare
+from foliant.session import table, written
 
 
 def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,7 +29,7 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
 def p1_containment(spark: SparkSession, sf: str) -> DataFrame:
     """The pairs with their edit distance and the share of the evaluation record's word 5-grams that the training
     record holds."""
-    return _overlaps(spark, sf)
+    return _overlaps(spark, sf).withColumn("containment", F.round("containment", 6))
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -84,6 +87,24 @@ def p6_split(spark: SparkSession, sf: str) -> DataFrame:
     return grouped_split.assigned(table(spark, sf, "loci"), _ties(spark, sf), table(spark, sf, "special_pages"))
 
 
+def _named(name: str, rows: DataFrame) -> DataFrame:
+    return rows.agg(F.lit(name).alias("check"), F.count("*").alias("violations"))
+
+
+def p6_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with the split: groups in two splits, records without one, splits off their share by more than a
+    hundredth of the records and the largest group; and how many records and groups there are."""
+    records = written(p6_split(spark, sf), "split")
+    weights = records.groupBy("group").agg(F.count("*").alias("weight"), F.count_distinct("split").alias("splits"))
+    whole = weights.agg(F.sum("weight").alias("all"), F.max("weight").alias("most"))
+    shares = spark.createDataFrame(list(grouped_split.SHARES.items()), "split string, share double")
+    sizes = shares.join(records.groupBy("split").agg(F.count("*").alias("n")), "split", "left").join(F.broadcast(whole))
+    off = sizes.where(F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * F.col("all")) > 0.01 * F.col("all") + F.col("most"))
+    missing = compare.records(table(spark, sf, "loci")).join(records, "record_id", "left_anti")
+    parts = [_named("groups_in_two_splits", weights.where("splits > 1")), _named("without_a_split", missing), _named("off_share", off), _named("records", records), _named("groups", weights)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encoded(table(spark, sf, "documents"))
 
@@ -103,6 +124,23 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return used.groupBy((packing.CAPACITY - F.col("tokens")).alias("unused")).agg(F.count("*").alias("containers"))
 
 
+def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with the packing: containers over capacity, documents whose pieces don't add up, pieces cut though
+    the document would fit, containers beyond the least possible number; and the documents packed."""
+    tokens = written(encode.token_counts(table(spark, sf, "documents")), "tokens")
+    pieces = written(packing.packed(tokens).withColumnRenamed("item", "doc_id"), "packed")
+    fill = pieces.where("container is not null").groupBy("container").agg(F.sum("size").alias("size"))
+    own = pieces.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count("*").alias("pieces"))
+    both = tokens.join(own, "doc_id", "full_outer")
+    least = tokens.agg(F.ceil(F.sum("tokens") / packing.CAPACITY).alias("least"))
+    spare = fill.agg(F.count("*").alias("used")).join(least).select(F.lit("spare_containers").alias("check"), F.greatest(F.col("used") - F.col("least"), F.lit(0)).alias("violations"))
+    parts = [
+        _named("over_capacity", fill.where(F.col("size") > packing.CAPACITY)), _named("tokens_lost", both.where("not size <=> tokens")), _named("cut_though_it_fits", own.where((F.col("pieces") > 1) & (F.col("size") <= packing.CAPACITY))),
+        spare, _named("documents", own),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     # kinds don't depend on the common words, so these aren't counted here
     return text_quality.statistics(table(spark, sf, "documents"), []).where("kind <> 'prose'").select("doc_id", "kind")
@@ -112,11 +150,16 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return text_quality.statistics(table(spark, sf, "documents"))
 
 
+def p9_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Words and non-blank lines of every text."""
+    return text_quality.statistics(table(spark, sf, "documents"), []).select("doc_id", "words", "lines", F.round("mean_word_length", 6).alias("mean_word_length"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p1_containment, p2_found, p2_terms, p2_runs, p5_found, p5_agreement, p5_reliability, p6_found, p6_split,
-        p7_ids, p7_decoded, p8_packed, p8_fill, p9_found, p9_statistics,
+        p1_found, p1_report, p1_containment, p2_found, p2_terms, p2_runs, p5_found, p5_agreement, p5_reliability, p6_found, p6_split, p6_checks,
+        p7_ids, p7_decoded, p8_packed, p8_fill, p8_checks, p9_found, p9_statistics, p9_counts,
     )
 }
 
@@ -182,7 +225,23 @@ _COMPONENTS = f"""with recursive special as (
   select u, u from arcs union select r.leaf, b.v from reach r join arcs b on b.u = r.other)
 """
 
+_GRAMS = "list_distinct(list_transform(range(1, greatest(len({w}) - least(5, len({w})) + 1, 1) + 1), lambda i: array_to_string({w}[i:i + least(5, len({w})) - 1], ' ')))"
+_GROUPS = _COMPONENTS + f""", root as (select leaf, min(other) as root from reach group by leaf),
+rec as (select record_id, arg_max(folio, ingested_at) as folio from loci group by record_id),
+grp as (select r.record_id, coalesce('leaf ' || coalesce(root, coalesce({_LEAF.format('r.folio')}, l.linked)), 'page ' || {_PAGE.format('r.folio')}, 'none') as g
+  from rec r left join (select {_PAGE.format('folio')} as page, list_min(linked_leaves) as linked from special_pages) l on l.page = {_PAGE.format('r.folio')} left join root on root.leaf = coalesce({_LEAF.format('r.folio')}, l.linked))
+"""
+_LINES = r"""with t as (select doc_id, replace(coalesce(text, ''), chr(65279), '') as t from documents),
+x as (select doc_id, list_filter(regexp_split_to_array(t, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda l: not regexp_full_match(l, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*')) as l from t),
+w as (select doc_id, len(l) as lines, regexp_extract_all(array_to_string(l, chr(10)), '[\pL\pM]+(?:[''’][\pL\pM]+)*') as w from x)
+select doc_id, len(w) as words, lines, round(len(array_to_string(w, '')) / greatest(len(w), 1), 6) as mean_word_length from w"""
+
 ORACLE = {
+    "p1_containment": _PAIRS.replace("b.split, b.transcription_id", "b.split, b.transcription_id, levenshtein(a.text, b.text) as edits, string_split(a.text, ' ') as wa, string_split(b.text, ' ') as wb")
+    + f"select train_record, eval_record, split, transcription_id, edits, round(len(list_intersect({_GRAMS.format(w='wb')}, {_GRAMS.format(w='wa')})) / len({_GRAMS.format(w='wb')}), 6) as containment from pairs",
+    "p6_checks": _GROUPS + """select 'groups_in_two_splits' as "check", 0::bigint as violations union all select 'without_a_split', 0 union all select 'off_share', 0 union all select 'records', count(*) from grp union all select 'groups', count(distinct g) from grp""",
+    "p8_checks": """select unnest(['over_capacity', 'tokens_lost', 'cut_though_it_fits', 'spare_containers']) as "check", 0::bigint as violations union all select 'documents', count(distinct doc_id) from documents""",
+    "p9_counts": _LINES,
     "p1_found": _PAIRS + "select least(train_record, eval_record) as record_id_a, greatest(train_record, eval_record) as record_id_b from pairs",
     "p1_report": _PAIRS + "select split, transcription_id, count(distinct eval_record) as records, count(*) as pairs from pairs group by all",
     "p2_found": _TERMS + "select field, term, mark from marked where mark is not null",
