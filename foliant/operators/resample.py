@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.session import written
+
 
 def draw(*parts: Column | str) -> Column:
     """A draw from 0 to 2^32 - 1 that depends on its parts only, on any engine that has SHA-256."""
@@ -15,10 +17,10 @@ def draw(*parts: Column | str) -> Column:
 def paired_bootstrap(deltas: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     """deltas (unit, delta_bits, events) → (replicate, delta): ratio of sums over units drawn with replacement.
     Units are numbered in parts of a hash, so no task holds them all; draws meet units by number."""
-    h = F.xxhash64("unit")
-    parted = deltas.withColumn("part", F.pmod(h, F.lit(1024)))
+    deltas = written(deltas.select("unit", "delta_bits", "events"), "deltas")
+    parted = deltas.withColumn("part", F.substring(F.sha2(F.col("unit").cast("string"), 256), 1, 3))
     sizes = parted.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.expr("sum(n) over (order by part) - n").alias("before"))  # 1,024 rows at most
+    before = sizes.select("part", F.expr("sum(n) over (order by part) - n").alias("before"))  # 4,096 rows at most
     numbered = parted.withColumn("own", F.expr("row_number() over (partition by part order by unit) - 1")).join(F.broadcast(before), "part")
     numbered = numbered.select((F.col("own") + F.col("before")).alias("number"), "delta_bits", "events")
     many = deltas.agg(F.count("*").alias("units"))
@@ -35,6 +37,25 @@ def interval(replicates: DataFrame, value: str = "delta") -> DataFrame:
     return replicates.agg(F.count("*").alias("replicates"), F.round(F.avg(value), 6).alias("mean"), F.round(F.get(q, F.lit(0)), 6).alias("lower"), F.round(F.get(q, F.lit(1)), 6).alias("upper"), F.round(F.avg((F.col(value) > 0).cast("double")), 6).alias("share_above_zero"))
 
 
+def relation(name: str, competitor: DataFrame, trigram: DataFrame, replicates: int = 10_000, seed: int = 0) -> DataFrame:
+    """One row of two models scored on the same units (unit, bits, events): bits an event of both, their difference
+    (competitor less trigram) with its interval, the share of replicates in which the competitor is worse, and which way
+    the interval points: worse, better or open. Units or events that only one side has are an error."""
+    a, b = (x.select("unit", F.col("bits").alias(f"{n}_bits"), F.col("events").alias(f"{n}_events")) for x, n in ((competitor, "c"), (trigram, "t")))
+    both = a.join(b, "unit", "full_outer")
+    told = F.raise_error(F.concat(F.lit(f"{name}: not the same events in unit "), "unit")).cast("long")
+    both = both.withColumn("events", F.when(F.col("c_events") == F.col("t_events"), F.col("c_events")).otherwise(told)).withColumn("delta_bits", F.col("c_bits") - F.col("t_bits"))
+    both = written(both, "relation")
+    sums = both.agg(F.count("*").alias("units"), F.sum("events").alias("events"), F.sum("c_bits").alias("c"), F.sum("t_bits").alias("t"))
+    r = interval(paired_bootstrap(both, replicates, seed))
+    per = lambda c: F.round(F.col(c) / F.col("events"), 6)
+    way = F.when(F.col("lower") > 0, "worse").when(F.col("upper") < 0, "better").otherwise("open")
+    return sums.join(r).select(
+        F.lit(name).alias("relation"), "units", "events", per("c").alias("competitor_bits_per_event"), per("t").alias("trigram_bits_per_event"), F.round((F.col("c") - F.col("t")) / F.col("events"), 6).alias("delta"),
+        "replicates", "lower", "upper", F.col("share_above_zero").alias("share_worse"), way.alias("direction"),
+    )
+
+
 def leave_one_out(deltas: DataFrame) -> DataFrame:
     """(unit, delta_without, influence): the ratio of sums without each unit."""
     total = deltas.agg(F.sum("delta_bits").alias("b"), F.sum("events").alias("e"))

@@ -107,33 +107,6 @@ def leave_one_leaf_out(spark, sf):
     return R.leave_one_out(_deltas(spark, sf))
 
 
-@query()
-def paired_bootstrap(spark, sf):
-    return R.interval(R.paired_bootstrap(_deltas(spark, sf), 10_000))
-
-
-@query(_SEQ.replace("), ev as (", "), ev0 as (").split(", ev0 as (")[0] + """, t as (select record_id, token_index, tok, list_append(glyphs, '<EOT>') as symbols, coalesce('f' || physical_leaf, 'special') as unit, coalesce(physical_leaf % 5 = 0, false) as held from tok where not list_contains(glyphs, 'Z1')),
-ce as (select tok, held, symbols[i] as s, coalesce(case when i > 1 then symbols[i - 1] end, '<BOS>') as h1, coalesce(case when i > 2 then symbols[i - 2] end, '<BOS>') as h2 from t, unnest(range(1, len(symbols) + 1)) as p(i)),
-c2 as (select h1, h2, s, count(*) as c from ce where not held group by all), c1 as (select h1, s, sum(c) as c from c2 group by all), c0 as (select s, sum(c) as c from c2 group by all),
-n2 as (select h1, h2, sum(c) as n, count(*) as t from c2 group by all), n1 as (select h1, sum(c) as n, count(*) as t from c1 group by all), n0 as (select sum(c) as n, count(*) as t from c0),
-dt as (select distinct tok, symbols from t where held), de as (select tok, symbols[i] as s, coalesce(case when i > 1 then symbols[i - 1] end, '<BOS>') as h1, coalesce(case when i > 2 then symbols[i - 2] end, '<BOS>') as h2 from dt, unnest(range(1, len(symbols) + 1)) as p(i)),
-p as (select e.tok, coalesce(c0.c, n0.t) / (n0.n + n0.t) as p1, n1.n as m1, coalesce(c1.c, 0) as k1, n1.t as t1, n2.n as m2, coalesce(c2.c, 0) as k2, n2.t as t2
-  from de e cross join n0 left join c0 on e.s = c0.s left join c1 on e.h1 = c1.h1 and e.s = c1.s left join n1 on e.h1 = n1.h1
-  left join c2 on e.h1 = c2.h1 and e.h2 = c2.h2 and e.s = c2.s left join n2 on e.h1 = n2.h1 and e.h2 = n2.h2),
-q as (select *, case when m1 is null then p1 else (k1 + t1 * p1) / (m1 + t1) end as p2 from p),
-spelling as (select tok, exp(sum(ln(case when m2 is null then p2 else (k2 + t2 * p2) / (m2 + t2) end))) as spelling from q group by tok),
-w as (select unit, held, tok as s, lag(tok, 1, '<TOKEN_BOS>') over (partition by record_id order by token_index) as h from t),
-w1 as (select h, s, count(*) as c from w where not held group by all), w0 as (select s, sum(c) as c from w1 group by all), m1 as (select h, sum(c) as n, count(*) as t from w1 group by all), m0 as (select sum(c) as n, count(*) as t from w0),
-z as (select w.unit, w0.c is null as oov, (coalesce(w0.c, 0) + m0.t * spelling) / (m0.n + m0.t) as p1, m1.n, m1.t, coalesce(w1.c, 0) as k
-  from w cross join m0 join spelling on spelling.tok = w.s left join w0 on w0.s = w.s left join w1 on w1.h = w.h and w1.s = w.s left join m1 on m1.h = w.h where w.held)
-select unit, round(sum(-log2(case when n is null then p1 else (k + t * p1) / (n + t) end)), 5) as bits, count(*) as tokens, count_if(oov) as oov_tokens from z group by unit""")
-def token_markov_score(spark, sf):
-    t = N.token_sequences(lines(spark, sf).withColumn("unit", N.leaf_group(F.col("physical_leaf"))), "unit", "physical_leaf")
-    held = F.coalesce(F.col("physical_leaf") % 5 == 0, F.lit(False))
-    s = N.token_unit_scores(t.where(~held), t.where(held), 3, "unit")
-    return s.withColumn("bits", F.round("bits", 5)).withColumn("oov_tokens", F.col("oov_tokens").cast("long"))
-
-
 _FEATURES = BASE + """, r as (select physical_leaf, record_id, token_index, tok, glyphs from tok where not list_contains(glyphs, 'Z1') and physical_leaf is not null),
 n as (select physical_leaf, tok, count(*) as n from r group by all),
 f as (select physical_leaf, sum(n)::bigint as tokens, count(*) as types, round(count(*) / sum(n), 6) as type_token_ratio, round(count_if(n = 1) / sum(n), 6) as singleton_fraction from n group by physical_leaf),
@@ -195,44 +168,40 @@ def _model_scores(spark, sf, make):
     from foliant.operators import sequence_models as Z
 
     train, test = parts(spark, sf)
-    model = make(Z, Z.vocabulary(train))
-    model.fit(Z.distinct_sequences(train.select("symbols")))
-    return N.corpus_rollup(Z.unit_bits(test, "unit", model.bits), "unit")
+    rows = Z.distinct_sequences(train.select("symbols"))
+    symbols = Z.vocabulary(train)
+    model = Z.best_of(lambda seed: make(Z, symbols, seed), rows, 2)
+    return N.corpus_rollup(Z.unit_bits(test, "unit", model), "unit")
 
 
 @query()
 def hidden_markov_score(spark, sf):
-    """Held-out leaves under a hidden Markov model of four states."""
-    return _model_scores(spark, sf, lambda Z, v: Z.HiddenMarkov(4, v))
+    """Held-out leaves under a hidden Markov model of four states, the better of two starts."""
+    return _model_scores(spark, sf, lambda Z, v, seed: Z.HiddenMarkov(4, v, seed))
 
 
 @query()
 def slot_grammar_score(spark, sf):
-    """Held-out tokens under a slot grammar of four templates."""
+    """Held-out tokens under a slot grammar of four templates, the better of two starts."""
     from foliant.operators import sequence_models as Z
 
     t = C.tokens(lines(spark, sf).withColumn("unit", N.leaf_group(F.col("physical_leaf"))), "unit", "physical_leaf").where(C.readable(F.col("glyphs"))).withColumnRenamed("glyphs", "symbols")
     held = F.coalesce(F.col("physical_leaf") % 5 == 0, F.lit(False))
-    model = Z.SlotGrammar(4, 6, Z.vocabulary(t.where(~held)))
-    model.fit(Z.distinct_sequences(t.where(~held).select("symbols")))
-    return N.corpus_rollup(Z.unit_bits(t.where(held), "unit", model.bits), "unit")
+    rows, symbols = Z.distinct_sequences(t.where(~held).select("symbols")), Z.vocabulary(t.where(~held))
+    model = Z.best_of(lambda seed: Z.SlotGrammar(4, 6, symbols, seed), rows, 2)
+    s = Z.unit_bits(t.where(held), "unit", model).withColumn("events", F.col("events") + F.col("sequences"))  # an end is an event
+    return N.corpus_rollup(s, "unit")
 
 
 @query()
 def copy_edit_score(spark, sf):
-    """Held-out tokens under a model of edited copies of the last four tokens: bits per event and copies' share."""
+    """Held-out tokens under a model of edited copies of the last four tokens: bits per event, and copies' share of the
+    tokens that have something to copy."""
     from foliant.operators import sequence_models as Z
 
-    t = Z.copy_sources(C.tokens(lines(spark, sf), "physical_leaf"), 4).withColumn("held", F.coalesce(F.col("physical_leaf") % 5 == 0, F.lit(False)))
+    own = lines(spark, sf).withColumn("unit", N.leaf_group(F.col("physical_leaf")))
+    t = Z.copy_sources(C.tokens(own, "unit", "physical_leaf"), 4).withColumn("held", F.coalesce(F.col("physical_leaf") % 5 == 0, F.lit(False)))
     model = Z.CopyEdit(Z.vocabulary(t.where("not held").select(F.col("glyphs").alias("symbols"))), 4)
     model.fit(t.where("not held").select("glyphs", "history"))
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            s = [model.score(list(g), [list(x) for x in h]) for g, h in zip(b["glyphs"], b["history"])]
-            yield pd.DataFrame({"bits": [x[0] for x in s], "copy": [x[1] for x in s], "events": [len(g) + 1 for g in b["glyphs"]]})
-
-    scored = t.where("held").select("glyphs", "history").mapInPandas(run, "bits double, copy double, events long")
-    return scored.agg(F.count("*").alias("tokens"), F.round(F.sum("bits") / F.sum("events"), 6).alias("bits_per_event"), F.round(F.avg("copy"), 6).alias("copy_share"))
+    s = Z.copy_scores(t.where("held"), model, "unit")
+    return s.agg(F.sum("tokens").alias("tokens"), F.round(F.sum("bits") / F.sum("events"), 6).alias("bits_per_event"), F.round(F.sum("copies") / F.sum("contextual"), 6).alias("copy_share"))

@@ -1,8 +1,11 @@
+import itertools
 import random
 import zipfile
 
-from pyspark.sql import functions as F
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from foliant.operators import sequence_models as Z
 from foliant.sources import files, rules
 from foliant.sources import transcription as T
@@ -79,7 +82,8 @@ def test_models_learn(spark):
     for model in (Z.HiddenMarkov(3, v), Z.SlotGrammar(2, 4, v)):
         trace = model.fit(rows, 8)
         assert trace[-1] < trace[0] and model.bits(["A", "B"]) < model.bits(["B", "B", "C"])
-    assert Z.alignment(list("kitten"), list("sitting")) == ["S", "M", "M", "M", "S", "M", "I"]
+    assert Z.alignment_counts(list("kitten"), list("sitting")) == {"M": 4, "S": 2, "D": 0, "I": 1}
+    assert Z.alignment_counts([], list("ab")) == {"M": 0, "S": 0, "D": 0, "I": 2} and Z.alignment_counts(list("ab"), [])["D"] == 2
     c = Z.CopyEdit(v)
     c.fit(spark.createDataFrame([(["A", "B"], [["A", "B"]]), (["C", "A"], [])], "glyphs array<string>, history array<array<string>>"))
     assert c.score(["A", "B"], [["A", "B"]])[0] < c.score(["A", "B"], [])[0]
@@ -108,11 +112,45 @@ def test_copies_by_distance_and_within_readable_segments(spark):
     c.fit(rows)
     assert abs(c.distance[1] - 60.5 / 61) < 1e-9
     assert c.score(a, [b, a])[0] < c.score(a, [a, b])[0] - 3
-    new, copied = c.new(a), c.mixed(a, [b, a])
+    new, copied = c.new([a])[0], c.mixed([a], [[b, a]])[0]
     q = copied * c.rho / (copied * c.rho + new * (1 - c.rho))
     assert abs((60 * q + 0.5) / 61 - c.rho) < 1e-8
 
 
+def test_edit_channel_against_all_scripts(spark):
+    """The chances of all tokens of up to five symbols add up to 1, and each is the sum over its scripts."""
+    c = Z.CopyEdit(["A", "B", Z.UNKNOWN_SYMBOL])
+    c.symbol, c.insert, c.delete, c.keep = np.array([0.5, 0.3, 0.2]), 0.1, 0.2, 0.7
+
+    def scripts(source, token):
+        """Chance of token from what is left of source: at a gap."""
+        stop = 1 - c.insert
+        out = stop * (float(not token) if not source else c.delete * scripts(source[1:], token) + ((1 - c.delete) * (c.keep * (source[0] == token[0]) + (1 - c.keep) * c.symbol[token[0]]) * scripts(source[1:], token[1:]) if token else 0))
+        return out + (c.insert * c.symbol[token[0]] * scripts(source, token[1:]) if token else 0)
+
+    nothing = scripts((0, 1), ())
+    tokens = [t for n in range(1, 6) for t in itertools.product(range(3), repeat=n)]
+    got = {t: c.copied(np.array([[0, 1]]), np.array([t]))[0] for t in tokens}
+    assert all(abs(got[t] - scripts((0, 1), t) / (1 - nothing)) < 1e-12 for t in tokens[:60]) and 0.99 < sum(got.values()) < 1
+    with pytest.raises(ValueError):
+        c.scores([["A"] * 65], [[]])
+
+
+def test_models_are_saved_and_chosen_by_training(spark, tmp_path):
+    rng = random.Random(4)
+    s = spark.createDataFrame([([rng.choice("AB" if i % 2 else "CD") for _ in range(8)],) for i in range(40)], "symbols array<string>")
+    rows, v = Z.distinct_sequences(s), Z.vocabulary(s)
+    for name, make in (("h", lambda seed: Z.HiddenMarkov(2, v, seed)), ("s", lambda seed: Z.SlotGrammar(2, 4, v, seed))):
+        each = [make(k) for k in range(3)]
+        ends = [m.fit(rows, 12)[-1] for m in each]
+        best = Z.best_of(make, rows, 3, iterations=12)
+        assert best.bits(["A", "B"]) == each[int(np.argmin(ends))].bits(["A", "B"])
+        Z.save_model(spark, best, str(tmp_path / name), restarts=3)
+        again, facts = Z.load_model(spark, str(tmp_path / name))
+        assert facts == {"restarts": 3} and again.bits(["A", "Q", "D"]) == best.bits(["A", "Q", "D"])
+        assert [tuple(r)[2:] for r in Z.unit_bits(s.selectExpr("'u' as unit", "concat(symbols, array('Q')) as symbols"), "unit", best).collect()] == [(360, 40, 40)]
+
+
 def test_streams(spark, tmp_path):
     src, n = str(tmp_path / "in"), 40
     spark.sql(f"select id as event_id, timestamp_seconds(id * 600) as ts, id % 2 as user_id, 'a' as event_type, 1.0D as value, '' as props from range({n})").write.parquet(src)
