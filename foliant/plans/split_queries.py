@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.operators import corpus as C
+from foliant.operators import leaf_split as X
 from foliant.operators import recurrence as Q
+from foliant.operators import selection as A
 from foliant.operators import splits as S
 from foliant.plans.corpus_queries import BASE, lines
-from foliant.session import table
+from foliant.session import table, written
 
 QUERIES, ORACLE = {}, {}
 SHARES = {"train": 0.7, "validation": 0.15, "test": 0.15}
@@ -125,3 +127,56 @@ def family_inventory(spark, sf):
 @query()
 def permutation_test(spark, sf):
     return Q.permutation_test(Q.family_occurrences(lines(spark, sf)), 16, 10_000)
+
+
+_PROFILES = _SPLIT + """, pr as (select physical_leaf as leaf, 'currier' as family, currier as category, 1::bigint as n from line where physical_leaf is not null group by all union all select physical_leaf, 'scribe', scribe, 1 from line where physical_leaf is not null group by all
+  union all select physical_leaf, 'section', section, 1 from line where physical_leaf is not null group by all union all select physical_leaf, 'locus_type', coalesce(locus_type, 'UNSET'), count(*) from line where physical_leaf is not null group by all
+  union all select physical_leaf, 'loci', 'all', count(*) from line where physical_leaf is not null group by all)"""
+_STATS = _PROFILES + """, nn as (select split, family, category, sum(n) as n from pr join sp on pr.leaf = sp.physical_leaf group by all),
+st as (select g.split, g.family, g.category, coalesce(n, 0)::bigint as n from (select * from (select distinct family, category from nn), (select distinct split from nn)) g left join nn using (split, family, category))"""
+
+
+def _profiles(spark, sf):
+    return X.profiles(lines(spark, sf))
+
+
+def _hashed(spark, sf):
+    return S.hash_ranked_split(lines(spark, sf).where("physical_leaf is not null"), "physical_leaf", SHARES).withColumnRenamed("physical_leaf", "leaf")
+
+
+@query(_PROFILES + " select * from pr")
+def leaf_category_profiles(spark, sf):
+    return _profiles(spark, sf)
+
+
+@query(_STATS + " select * from st")
+def split_statistics(spark, sf):
+    return X.split_statistics(_profiles(spark, sf).join(_hashed(spark, sf), "leaf"))
+
+
+@query(_STATS + """, gl as (select family, category, sum(n) as g from st group by all), gt as (select family, sum(g) as gt, count(*) as categories from gl group by family), lt as (select split, family, sum(n) as lt from st group by all),
+e as (select st.*, g / gt as share, coalesce(n / nullif(lt, 0), 0) as mine, categories, gt from st join gl using (family, category) join gt using (family) join lt using (split, family)),
+tg as (select split, count(*) / sum(count(*)) over () as want from sp group by split),
+k as (select sum(sqrt(share) * pow(mine - share, 2) / categories) as kinds from e where family <> 'loci'), l as (select sum(0.75 * pow(n / gt - want, 2)) as loci from e join tg using (split) where family = 'loci'),
+m as (select count(*) as gaps from st join (select family, category from pr where family in ('currier', 'scribe', 'section') group by all having count(distinct leaf) >= 3) using (family, category) where n = 0)
+select round(kinds + loci + 100 * gaps, 9) as objective, round(kinds, 9) as kinds, round(loci, 9) as loci, gaps from k, l, m""")
+def split_objective(spark, sf):
+    """How far the split by hash is from the whole."""
+    of = _hashed(spark, sf)
+    targets = {r["split"]: r["n"] for r in of.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    return X.objective(_profiles(spark, sf), of, targets)
+
+
+@query("select unnest(['split_size', 'out_of_range', 'overlap', 'not_covered', 'tied_leaves_apart', 'further_than_a_split_by_hash', 'not_its_distance']) as \"check\", 0::bigint as violations")
+def optimised_split_checks(spark, sf):
+    """A split found by search keeps sizes, covers each leaf once, keeps linked leaves together, and is closer to the whole
+    than a split by hash."""
+    own, special = written(_profiles(spark, sf), "profiles"), table(spark, sf, "special_pages")
+    of, distance = X.optimised(own, special, SHARES)
+    leaves = own.select("leaf").distinct()
+    targets = S.largest_remainder(leaves.count(), SHARES)
+    links = special.select(F.array_min("linked_leaves").alias("u"), F.explode("linked_leaves").alias("v")).where("u < v")
+    found = X.objective(own, of, targets)
+    other = X.objective(own, _hashed(spark, sf), targets).select(F.col("objective").alias("hashed"))
+    worse = found.join(other).where("objective > hashed")
+    return A.checks(A.assignment_checks(of, leaves, targets, links), A.violations("further_than_a_split_by_hash", worse), A.violations("not_its_distance", found.where(F.abs(F.col("objective") - F.lit(distance)) > 1e-6)))
