@@ -33,6 +33,17 @@ def lag_rates(occurrences: DataFrame, most: int, least: int = 2) -> DataFrame:
     return p.groupBy("lag").agg(F.count("*").alias("pairs"), F.count_if(F.col("suffix") == F.col("s2")).alias("matches")).withColumn("rate", F.round(F.col("matches") / F.col("pairs"), 6))
 
 
+def rate_at(occurrences: DataFrame, lag: int) -> DataFrame:
+    """One row (families, pairs, rate): equal suffixes `lag` occurrences apart, pooled over families of more than `lag`; the
+    rate is null without pairs."""
+    big = occurrences.groupBy("base").agg(F.count("*").alias("n")).where(F.col("n") > lag).select("base")
+    own = occurrences.join(big, "base", "left_semi")
+    later = own.select("base", F.col("suffix").alias("s2"), (F.col("occurrence") - lag).alias("occurrence"))
+    p = own.join(later, ["base", "occurrence"])
+    rate = p.agg(F.count("*").alias("pairs"), F.round(F.try_divide(F.count_if(F.col("suffix") == F.col("s2")), F.count("*")), 6).alias("rate"))
+    return big.agg(F.count("*").alias("families")).join(rate)  # one row each
+
+
 def cycle_contrast(rates: DataFrame, cycle: int) -> DataFrame:
     """One row: the rate at `cycle` less the mean rate at shorter lags."""
     return rates.agg(F.round(F.max(F.when(F.col("lag") == cycle, F.col("rate"))) - F.avg(F.when(F.col("lag") < cycle, F.col("rate"))), 6).alias("contrast"))

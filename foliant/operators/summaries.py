@@ -49,3 +49,58 @@ def monotone(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     before = F.expr(f"lag({value}) over (partition by {group} order by {order})")
     s = rows.withColumn("__ok", F.coalesce(F.col(value) >= before, F.lit(True)))
     return s.groupBy(group).agg(F.count("*").alias("steps"), F.bool_and("__ok").alias("rising"))
+
+
+def relation_summary(rows: DataFrame, value: str, strong: str, *keys: str) -> DataFrame:
+    """By keys: runs, mean, median, population standard deviation, minimum and maximum of value, and how many runs are above
+    zero and strong."""
+    v = F.col(value)
+    r = lambda c: F.round(c, 6) + 0.0
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("runs"), r(F.avg(v)).alias("mean"), r(F.percentile(value, 0.5)).alias("median"), r(F.stddev_pop(v)).alias("sd"), r(F.min(v)).alias("min"), r(F.max(v)).alias("max"), F.count_if(v > 0).alias("positive"),
+        F.count_if(F.col(strong)).alias("strong"),
+    )
+
+
+def two_level_replication(rows: DataFrame, family: str, relation: str, language: str, strong: str, runs: int, least_runs: int, least_languages: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(languages, relations, families): a language replicates a relation if at least least_runs of its runs are strong; a
+    relation is robust in a family if least_languages languages replicate it; a family holds the whole hierarchy if all
+    its relations are robust. A language with another number of runs than `runs` is an error when it is read."""
+    n = rows.groupBy(family, relation, language).agg(F.count("*").alias("runs"), F.count_if(F.col(strong)).alias("strong"))
+    told = F.raise_error(F.concat(F.lit(f"not {runs} runs but "), F.col("runs"), F.lit(" of "), F.col(language))).cast("long")
+    languages = n.withColumn("runs", F.when(F.col("runs") == runs, F.col("runs")).otherwise(told)).withColumn("replicated", F.col("strong") >= least_runs)
+    relations = languages.groupBy(family, relation).agg(
+        F.count_if("replicated").alias("languages"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("replicated"), F.col(language)))), "|").alias("replicated_in"), (F.count_if("replicated") >= least_languages).alias("robust")
+    )
+    families = relations.groupBy(family).agg(F.count_if("robust").alias("robust_relations"), F.bool_and("robust").alias("whole_hierarchy"))
+    return languages, relations, families
+
+
+def changes(rows: DataFrame, before: str, after: str, *keys: str) -> DataFrame:
+    """By keys: runs, the means before and after, the mean change and its spread, and how many runs went down."""
+    d = F.col(after) - F.col(before)
+    r = lambda c: F.round(c, 6) + 0.0
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("runs"), r(F.avg(before)).alias("mean_before"), r(F.avg(after)).alias("mean_after"), r(F.avg(d)).alias("mean_change"), r(F.stddev_pop(d)).alias("sd_change"), F.count_if(d < 0).alias("reduced")
+    )
+
+
+def means(rows: DataFrame, values: Sequence[str], *keys: str) -> DataFrame:
+    """By keys: runs and the mean of each value, over the rows that have it."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("runs"), *[F.round(F.avg(v), 6).alias(f"mean_{v}") for v in values])
+
+
+def flattened(rows: DataFrame, nested: str, prefix: str) -> DataFrame:
+    """rows with the fields of a struct column as columns of their own, named by a prefix."""
+    names = rows.schema[nested].dataType.names
+    return rows.select(*[c for c in rows.columns if c != nested], *[F.col(f"{nested}.{n}").alias(f"{prefix}{n}") for n in names])
+
+
+def exact_cycle(rates: DataFrame, cycle: int, tolerance: float, *keys: str) -> DataFrame:
+    """By keys, of rates (lag, rate): whether the rate is 1 at `cycle` and 0 at every shorter lag, within the tolerance, and so
+    the contrast 1. A lag that is missing is none."""
+    far = lambda want: F.abs(F.col("rate") - want) <= tolerance
+    good = F.count_if((F.col("lag") == cycle) & far(1.0)) + F.count_if((F.col("lag") < cycle) & (F.col("lag") >= 1) & far(0.0))
+    contrast = F.max(F.when(F.col("lag") == cycle, F.col("rate"))) - F.avg(F.when(F.col("lag") < cycle, F.col("rate")))
+    exact = (good == cycle) & (F.abs(contrast - 1.0) <= tolerance)
+    return rates.groupBy(*keys).agg(F.coalesce(exact, F.lit(False)).alias("exact")) if keys else rates.agg(F.coalesce(exact, F.lit(False)).alias("exact"))

@@ -24,15 +24,19 @@ def query(sql: str | None = None):
 
 _REC = "with rec as (select * from loci qualify row_number() over (partition by record_id order by ingested_at desc) = 1)"
 _P = _REC + ", p as (select *, {} as text from rec)"
-_PARSED = ("locus", "line", "locus_type", "locus_subtype", "locator", "transcriber", "text_raw", "text_normalized", "original", "locus_raw", "quire_code", "section_code", "paragraph_start", "paragraph_end", "ivtff_alphabet", "ivtff_version", "ivtff_options")
+_PARSED = ("locus", "line", "locus_type", "locus_subtype", "locator", "transcriber", "text_raw", "text_normalized", "original", "locus_raw", "quire_code", "section_code", "paragraph_start", "paragraph_end", "ivtff_alphabet", "ivtff_version", "ivtff_options",
+           "file_header_original", "quire", "currier", "section", "original_lines", "page_header_original", "recto_verso", "foldout_panel")
 
 
-@query(_REC + f" select transcription_id, {', '.join(_PARSED)} from rec")
+@query(_REC + f" select transcription_id, lower(regexp_replace(folio, '\\s+', '', 'g')) as folio, {', '.join(_PARSED)} from rec")
 def parsed_transcriptions(spark, sf):
-    return T.parse(T.as_lines(table(spark, sf, "loci"))).select(F.col("file").alias("transcription_id"), *_PARSED)
+    """The records written out as files and parsed again. Columns that hang on lines which the table lacks (numbers of lines,
+    tags and paragraphs begun before) are tested on files instead."""
+    return T.parse(T.as_lines(table(spark, sf, "loci"))).select(F.col("file").alias("transcription_id"), "folio", *_PARSED)
 
 
-@query()
+@query(_REC + """, w as (select contains(text_normalized, '<%>') as s, contains(text_normalized, '<$>') as e, coalesce(sum(contains(text_normalized, '<%>')::int - contains(text_normalized, '<$>')::int) over (partition by transcription_id, page_header_original order by source_line_number, record_id rows between unbounded preceding and 1 preceding), 0) as o
+  from rec where locus_type = 'P'), i as (select case when s and o > 0 then 'nested paragraph start' when e and not s and o <= 0 then 'paragraph end without start' end as issue from w) select issue, count(*) as n from i where issue is not null group by issue""")
 def parsing_issues(spark, sf):
     return T.issues(T.as_lines(table(spark, sf, "loci"))).groupBy("issue").agg(F.count("*").alias("n"))
 
@@ -109,7 +113,21 @@ def glyph_codes(spark, sf):
     return each.select("record_id", (F.col("i") + 1).alias("token_index"), "native", U.converted(F.col("native"), rules).alias("codes"))
 
 
-@query()
+_FIRST = "regexp_replace(regexp_replace(regexp_replace({}, '\\[([^:\\[\\]]*):[^\\[\\]]*\\]', '\\1', 'g'), '\\[([^:\\[\\]]*):[^\\[\\]]*\\]', '\\1', 'g'), '\\[([^:\\[\\]]*):[^\\[\\]]*\\]', '\\1', 'g')"
+_BARE = "regexp_replace({}, '[{{}}]', '', 'g')"
+#: A native text (column x) as codes, null where it stays unconverted; fwd and bwd are the rules.
+_FORWARD = "list_reduce(list_prepend(regexp_replace({x}, '<[^>]*>', chr(63743), 'g'), fwd), lambda acc, x: replace(acc, split_part(x, chr(31), 1), split_part(x, chr(31), 2)))"
+_BACK = "case when not regexp_matches({f}, '[^\\x{{E000}}-\\x{{F8FF}}.,\\[\\]: \\t\\r\\n]') then replace(list_reduce(list_prepend({f}, bwd), lambda acc, x: replace(acc, split_part(x, chr(31), 1), split_part(x, chr(31), 2))), chr(63743), '') end"
+_COUNTS = _REC + f""", r as (select list(source || chr(31) || chr(cast(57344 + i as integer)) order by i) as fwd, list(chr(cast(57344 + i as integer)) || chr(31) || target order by i) as bwd
+  from (select *, row_number() over (order by length(source) desc, ord) - 1 as i from sta_rules)),
+t as (select transcription_id, {_BARE.format(_FIRST.format('text_normalized'))} as a, {_FIRST.format(_BARE.format('text_normalized'))} as b from rec),
+u as (select *, list_max(list_transform(regexp_extract_all(b, '\\?+'), lambda x: length(x))) as longest, len(regexp_extract_all(b, '\\?\\?\\?')) as threes from t),
+f as (select transcription_id, longest, threes, {_FORWARD.format(x='a')} as fa, {_FORWARD.format(x="replace(b, '???', '<>')")} as fb, bwd from u, r),
+c as (select transcription_id, longest, threes, {_BACK.format(f='fa')} as ca, {_BACK.format(f='fb')} as cb from f),
+n as (select transcription_id, len(regexp_extract_all(ca, '[A-Z][1-9a-z]')) as plain, len(regexp_extract_all(regexp_replace(ca, '(?:Z1)+', 'Z1', 'g'), '[A-Z][1-9a-z]')) as collapsed, case when coalesce(longest, 0) <= 3 then len(regexp_extract_all(cb, '[A-Z][1-9a-z]')) + threes end as semantic from c)"""
+
+
+@query(_COUNTS + " select transcription_id, sum(plain)::bigint as glyphs, sum(collapsed)::bigint as collapsed, case when bool_and(semantic is not null) then sum(semantic)::bigint end as semantic, count_if(semantic is null) as without from n group by transcription_id")
 def glyph_counts(spark, sf):
     """Per transcription: glyphs under three conventions; the semantic count is null where a line has none."""
     rules = U.ordered(table(spark, sf, "sta_rules"))

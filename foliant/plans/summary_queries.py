@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import corpus as C
 from foliant.operators import summaries as S
-from foliant.plans.corpus_queries import BASE, lines
+from foliant.plans.corpus_queries import BASE, ORACLE as ENTROPY, lines
 
 _N = BASE + ", n as (select tok, count(*) as n from tok group by tok)"
 _TTR = BASE + ", m as (select section, physical_leaf, round(count(distinct tok) / count(*), 6) as ttr from tok where physical_leaf is not null group by all)"
@@ -51,7 +51,9 @@ def entropy_trajectory(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (frequency_bins, line_position_counts, section_summary, section_replication, section_top_tokens, entropy_trajectory)}
+_ENTROPIES = " union all ".join(f'select section, {k} as "order", entropy_bits from ({ENTROPY[f"conditional_entropy_{k}"]})' for k in (1, 2, 3))
 ORACLE = {
+    "entropy_trajectory": f'select section, count(*) as steps, bool_and(entropy_bits >= coalesce(before, entropy_bits)) as rising from (select *, lag(entropy_bits) over (partition by section order by "order" desc) as before from ({_ENTROPIES})) group by section',
     "frequency_bins": _N + " select case when n <= 1 then '<=1' when n <= 3 then '<=3' when n <= 10 then '<=10' when n <= 30 then '<=30' when n <= 100 then '<=100' else '>100' end as bin, count(*) as types, sum(n)::bigint as tokens from n group by 1",
     "line_position_counts": BASE + """, s as (select len(tokens) as size, unnest(range(len(tokens))) as i from line where len(tokens) > 0)
 select case when size = 1 then 'singleton' when i = 0 then 'initial' when i = size - 1 then 'final' else 'medial' end as position, count(*) as n from s group by 1""",

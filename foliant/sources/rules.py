@@ -28,10 +28,31 @@ def ordered(rules: DataFrame) -> list[tuple[str, str]]:
     return [(r["source"], r["target"]) for r in rows]
 
 
-def first_alternatives(text: Column, depth: int = 4) -> Column:
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"\[([^:\[\]]*):[^\[\]]*\]", "$1")
-    return text
+def first_alternatives(text: Column, strict: bool = False) -> Column:
+    """The first reading of each '[a:b]', however deep they are nested: each pass resolves the innermost ones, and there are
+    as many passes as brackets. strict: a bracket that is left over is an error when it is read."""
+    passes = F.sequence(F.lit(0), F.length(text) - F.length(F.replace(text, F.lit("["), F.lit(""))))
+    out = F.aggregate(passes, text, lambda t, _: F.regexp_replace(t, r"\[([^:\[\]]*):[^\[\]]*\]", "$1"))
+    if not strict:
+        return out
+    return F.when(out.rlike(r"[\[\]]"), F.raise_error(F.concat(F.lit("unpaired bracket: "), text)).cast("string")).otherwise(out)
+
+
+def checked_header(header: Column, alphabets: list[str]) -> Column:
+    """A rule file's first line, if it names one of the alphabets as its source; else an error when it is read."""
+    named = F.exists(F.array(*map(F.lit, alphabets)), lambda a: F.contains(header, a))
+    return F.when(named, header).otherwise(F.raise_error(F.concat(F.lit("no rules for these alphabets: "), header)).cast("string"))
+
+
+#: The rule file of each native alphabet.
+RULE_FILES = {"Eva-": "STA-Eva_def.bit", "EvaT": "STA-EvaT_def.bit", "v101": "STA-v101_def.bit"}
+
+
+def rule_file(alphabet: str, folder: str) -> str:
+    """The path of an alphabet's rules; an unknown alphabet is an error."""
+    if alphabet not in RULE_FILES:
+        raise ValueError(f"no rules for alphabet {alphabet!r}, only for {', '.join(sorted(RULE_FILES))}")
+    return f"{folder.rstrip('/')}/{RULE_FILES[alphabet]}"
 
 
 def converted(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -54,6 +75,13 @@ def glyph_tokens(text: Column, rules: list[tuple[str, str]]) -> Column:
     return F.filter(tokens, lambda g: F.size(g) > 0)
 
 
+def glyph_stream(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """All glyphs of a text in order, null where a token ends."""
+    tokens = glyph_tokens(text, rules)
+    none = F.array(F.lit(None).cast("string"))
+    return F.flatten(F.transform(tokens, lambda t, i: F.when(i == 0, t).otherwise(F.concat(none, t))))
+
+
 def glyph_count(codes: Column, collapse: bool = False) -> Column:
     """The number of glyph codes; with collapse, a run of unknown ones counts once."""
     text = F.regexp_replace(codes, "(?:Z1)+", "Z1") if collapse else codes

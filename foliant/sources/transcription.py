@@ -115,7 +115,7 @@ def parse(lines: DataFrame) -> DataFrame:
     page = lambda i: _some(F.regexp_extract("folio", r"^f(\d+)([rv])(\d*)$", i))
     return rows.select(
         "file", h(1).alias("ivtff_alphabet"), h(2).alias("ivtff_version"), h(3).alias("ivtff_options"), "file_header_original", "folio", quire_number(v("Q")).alias("quire"), v("L").alias("currier"),
-        v("H").alias("scribe"), section_name(v("I")).alias("section"), F.substring("locus_raw", 2, 1000).substr(F.lit(1), F.length("locus_raw") - 2).alias("locus"), "locus_type", "paragraph", "line", "text_raw",
+        v("H").alias("scribe"), section_name(v("I")).alias("section"), F.expr("substring(locus_raw, 2, length(locus_raw) - 2)").alias("locus"), "locus_type", "paragraph", "line", "text_raw",
         "text_normalized", F.array_join("parts", "\n").alias("original"), F.col("parts").alias("original_lines"), F.col("n").alias("source_line_number"), F.col("numbers").alias("source_line_numbers"),
         "page_header_original", v("Q").alias("quire_code"), v("I").alias("section_code"), "locus_raw", "locus_subtype", "locator", "transcriber", page(1).cast("int").alias("physical_leaf"),
         page(2).alias("recto_verso"), page(3).cast("int").alias("foldout_panel"), "page_vars", "text_tags", "paragraph_start", "paragraph_end",
@@ -141,6 +141,14 @@ def issues(lines: DataFrame) -> DataFrame:
     return plain.unionByName(p.select("file", F.col("source_line_number").alias("n"), nested.alias("issue")).where("issue is not null"))
 
 
+def parse_strict(lines: DataFrame) -> DataFrame:
+    """parse, once no issue is found."""
+    from foliant.operators.selection import enforce
+
+    enforce(issues(lines).groupBy(F.col("issue").alias("check")).agg(F.count("*").alias("violations")), "transcription")
+    return parse(lines)
+
+
 def as_lines(loci: DataFrame) -> DataFrame:
     """(file, n, text): the files that records of loci came from, with their pages' headers put before the first
     record of a page."""
