@@ -1,25 +1,30 @@
-"""Normalising of text and tokens. Unicode forms come from Arrow's kernels; the rest stays in the JVM."""
+"""Normalising of text and tokens. Unicode forms, which Spark has no function for, come from Python in Arrow batches; the
+rest stays in the JVM."""
 
 from __future__ import annotations
 
 import json
+import unicodedata
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _composed(form: str, text: pa.Array) -> pa.Array:
+    return pa.array([t if t is None or t.isascii() else unicodedata.normalize(form, t) for t in text.to_pylist()], pa.string())
+
+
 @F.arrow_udf(T.StringType())
 def nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+    return _composed("NFKC", text)
 
 
 @F.arrow_udf(T.StringType())
 def nfc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFC")
+    return _composed("NFC", text)
 
 
 #: The ends of lines, as Unicode has them.

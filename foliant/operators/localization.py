@@ -86,13 +86,13 @@ def summarised(rows: DataFrame, run: str, whole: list[str], *fields: str) -> Dat
         F.count("*").alias("runs"), F.sum("tokens").alias("tokens"), F.sum("events").alias("events"), F.sum("d").alias("d"), F.avg(F.col("d") / F.col("events")).alias("mean"), F.stddev_pop(F.col("d") / F.col("events")).alias("sd"),
         F.sum("better").alias("better"), F.sum("ta").alias("ta"), F.sum("ga").alias("ga"),
     )
-    total = by.groupBy(*whole).agg(F.sum("ta").alias("all")) if whole else by.agg(F.sum("ta").alias("all"))
+    total = by.groupBy(*whole).agg(F.sum("ta").alias("__all")) if whole else by.agg(F.sum("ta").alias("__all"))
     both = by.join(total, whole) if whole else by.join(F.broadcast(total))
     r = lambda c: F.round(c, 6) + 0.0
     return both.select(
         *fields, "runs", "tokens", "events", r(F.col("d")).alias("delta_bits"), r(F.col("d") / F.col("events")).alias("delta_per_event"), r(F.col("mean")).alias("mean_run_delta"), r(F.col("sd")).alias("sd_run_delta"),
         F.col("better").alias("tokens_better"), r(F.col("better") / F.col("tokens")).alias("better_share"), r(F.col("ta")).alias("token_advantage"), r(F.col("ga")).alias("trigram_advantage"),
-        r(F.coalesce(F.try_divide(F.col("ta"), F.col("all")), F.lit(0.0))).alias("share_of_advantage"),
+        r(F.coalesce(F.try_divide(F.col("ta"), F.col("__all")), F.lit(0.0))).alias("share_of_advantage"),
     )
 
 
@@ -122,7 +122,7 @@ def ranked_matches(wanted: DataFrame, offered: DataFrame, rules: list[Column], k
     conditions on a pair from the strictest on. found where one matches, several where more do, none otherwise. The pairs
     that are tried are those of one `base`, a column of both."""
     pairs = wanted.join(offered.withColumnRenamed("base", "__base"), F.col("base") == F.col("__base"), "left")
-    rule = F.coalesce(*[F.when(r, F.lit(i)) for i, r in enumerate(rules)])
+    rule = F.when(F.col("__base").isNotNull(), F.coalesce(*[F.when(r, F.lit(i)) for i, r in enumerate(rules)]))
     rows = pairs.withColumn("rule", rule)
     best = rows.groupBy(key).agg(F.min("rule").alias("best"))
     chosen = rows.join(best, key).where("rule = best").groupBy(key).agg(F.array_sort(F.collect_set(choice)).alias("choices"), F.first("best").alias("rule"))

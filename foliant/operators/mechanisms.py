@@ -275,7 +275,7 @@ def codewords(items: DataFrame, length: int, glyphs: list[str], seed: int = 0) -
     """(item, codeword) of a few items (item): different words of `length` of the glyphs, drawn. The base is as small as
     the number of items allows."""
     n = items.count()
-    base = next(k for k in range(2, len(glyphs) + 2) if k**length >= n)
+    base = next(k for k in range(2, n + 3) if k**length >= n)
     if base > len(glyphs):
         raise ValueError(f"{n} items need {base} glyphs")
     spark = items.sparkSession

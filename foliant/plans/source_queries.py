@@ -32,7 +32,7 @@ _PARSED = ("locus", "line", "locus_type", "locus_subtype", "locator", "transcrib
 def parsed_transcriptions(spark, sf):
     """The records written out as files and parsed again. Columns that hang on lines which the table lacks (numbers of lines,
     tags and paragraphs begun before) are tested on files instead."""
-    return T.parse(T.as_lines(table(spark, sf, "loci"))).select(F.col("file").alias("transcription_id"), "folio", *_PARSED)
+    return T.parse(T.as_lines(table(spark, sf, "loci"))).select(F.col("file").alias("transcription_id"), F.lower("folio").alias("folio"), *_PARSED)
 
 
 @query(_REC + """, w as (select contains(text_normalized, '<%>') as s, contains(text_normalized, '<$>') as e, coalesce(sum(contains(text_normalized, '<%>')::int - contains(text_normalized, '<$>')::int) over (partition by transcription_id, page_header_original order by source_line_number, record_id rows between unbounded preceding and 1 preceding), 0) as o
