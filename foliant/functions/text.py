@@ -23,8 +23,8 @@ def squeezed(text: Column) -> Column:
 
 
 def page_name(folio: Column) -> Column:
-    """One spelling of a page's name: no blanks, lower case."""
-    return F.lower(F.regexp_replace(folio, r"\s+", ""))
+    """One spelling of a page's name: no blanks, lower case, no zeros before the leaf's number."""
+    return F.regexp_replace(F.lower(F.regexp_replace(folio, r"\s+", "")), r"^f0+(?=[0-9])", "f")
 
 
 def page_leaf(folio: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import plain_text
+from foliant.functions.text import page_name, plain_text
 from foliant.sources.transcription import PAGE
 
 _PATTERNS = {
@@ -37,7 +37,7 @@ def long_words(text: Column) -> Column:
 
 def corpus_report(loci: DataFrame) -> DataFrame:
     """Per transcription: records, pages, leaves, paragraphs, long words, blank records."""
-    page = F.lower(F.regexp_replace("folio", r"\s+", ""))
+    page = page_name(F.col("folio"))
     own = records(loci).select("transcription_id", page.alias("page"), "physical_leaf", "paragraph_start", long_words(F.col("text_normalized")).alias("words"), (plain_text(F.col("text_normalized")) == "").alias("blank"))
     return own.groupBy("transcription_id").agg(
         F.count("*").alias("records"), F.count_distinct("page").alias("pages"), F.count_distinct("physical_leaf").alias("leaves"), F.count_if("paragraph_start").alias("paragraphs"),

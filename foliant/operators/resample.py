@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.numbering import prefix_sums
 from foliant.session import written
 
 
@@ -67,8 +68,7 @@ def leave_one_out(deltas: DataFrame) -> DataFrame:
 def average_ranks(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """rows with `<value>_rank`, ties sharing the mean of their ranks. Ranks go over counts of equal values, by key."""
     n = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    over = f"over ({'partition by ' + ', '.join(keys) if keys else ''} order by {value})"
-    r = n.withColumn(f"{value}_rank", F.expr(f"sum(__n) {over} - __n + (__n + 1) / 2")).drop("__n")
+    r = prefix_sums(n, value, "__n", *keys, before="__b", total="__t").withColumn(f"{value}_rank", F.col("__b") + (F.col("__n") + 1) / 2).drop("__n", "__b", "__t")
     return rows.join(r, [*keys, value], "left")
 
 
@@ -85,7 +85,7 @@ def correlation(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
 def percentile_rank(rows: DataFrame, value: str) -> DataFrame:
     """rows with `<value>_percentile`: (below + half of equal) / n."""
     n = rows.groupBy(value).agg(F.count("*").alias("__n"))
-    r = n.withColumn(f"{value}_percentile", F.expr(f"round((sum(__n) over (order by {value}) - __n + __n / 2) / sum(__n) over (), 6)")).drop("__n")
+    r = prefix_sums(n, value, "__n", before="__b", total="__t").withColumn(f"{value}_percentile", F.round((F.col("__b") + F.col("__n") / 2) / F.col("__t"), 6)).drop("__n", "__b", "__t")
     return rows.join(r, value)
 
 

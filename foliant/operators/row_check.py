@@ -94,7 +94,7 @@ def _with_validity(v: Column, valid: Column, when: str) -> Column:
     return (v != "") == (valid == when)
 
 
-#: The checks of TESTDATA's two feeds; another feed needs COLUMNS and rules of its own.
+#: The checks of TESTDATA's two feeds; another feed brings columns and rules of its own.
 RULES = (
     Rule("loci", "transcription_id", "code", _is("[A-Z]{2}[0-9][a-z]")),
     Rule("loci", "folio", "page name", _is("fRos|f[0-9]+[rv][0-9]*")),
@@ -120,9 +120,9 @@ RULES = (
 )
 
 
-def rule_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...] = RULES, columns: dict[str, dict[str, str]] = COLUMNS) -> DataFrame:
     """(feed, column_index, rule): as many rows as there are rules, so it may be broadcast."""
-    rows = [(r.feed, list(COLUMNS[r.feed]).index(r.column), i) for i, r in enumerate(rules)]
+    rows = [(r.feed, list(columns[r.feed]).index(r.column), i) for i, r in enumerate(rules)]
     return spark.createDataFrame(rows, "feed string, column_index int, rule int")
 
 
@@ -133,18 +133,18 @@ def parsed(rows: DataFrame, id_column: str = "raw_id", line: str = "raw_line") -
     return rows.select(F.col(id_column).alias("id"), "feed", holds.alias("quoting_holds"), fields.alias("cells"))
 
 
-def failures(rows: DataFrame, id_column: str = "raw_id", line: str = "raw_line", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def failures(rows: DataFrame, id_column: str = "raw_id", line: str = "raw_line", rules: tuple[Rule, ...] = RULES, columns: dict[str, dict[str, str]] = COLUMNS) -> DataFrame:
     """(id, reason, failed_rules) of each row that fails; failed_rules names `column: rule` of its cells."""
     p = parsed(rows, id_column, line)
-    width = F.coalesce(*[F.when(F.col("feed") == f, F.size("cells") == len(c)) for f, c in COLUMNS.items()], F.lit(False))
+    width = F.coalesce(*[F.when(F.col("feed") == f, F.size("cells") == len(c)) for f, c in columns.items()], F.lit(False))
     p = p.withColumn("width_holds", width)
     # a row of broken shape has one pseudo-cell, which no rule meets
     shaped = F.col("quoting_holds") & F.col("width_holds")
     cells = p.select("id", "feed", "quoting_holds", "width_holds", "cells", F.posexplode(F.when(shaped, F.col("cells")).otherwise(F.array(F.lit("")))).alias("column_index", "value"))
-    judged = cells.join(F.broadcast(rule_table(rows.sparkSession, rules)), ["feed", "column_index"], "left")
+    judged = cells.join(F.broadcast(rule_table(rows.sparkSession, rules, columns)), ["feed", "column_index"], "left")
 
     def broken(i: int, r: Rule) -> Column:
-        names = list(COLUMNS[r.feed])
+        names = list(columns[r.feed])
         return F.when(F.col("rule") == i, ~F.coalesce(r.holds(F.col("value"), lambda n: F.get("cells", F.lit(names.index(n)))), F.lit(False)))
 
     breaks = F.coalesce(*[broken(i, r) for i, r in enumerate(rules)], F.lit(False))
@@ -156,10 +156,10 @@ def failures(rows: DataFrame, id_column: str = "raw_id", line: str = "raw_line",
     )
 
 
-def valid_rows(rows: DataFrame, feed: str, id_column: str = "raw_id", line: str = "raw_line", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def valid_rows(rows: DataFrame, feed: str, id_column: str = "raw_id", line: str = "raw_line", rules: tuple[Rule, ...] = RULES, columns: dict[str, dict[str, str]] = COLUMNS) -> DataFrame:
     """The typed columns of the feed's valid rows, after the id."""
     own = rows.where(F.col("feed") == feed)
-    bad = failures(own, id_column, line, rules).select(F.col("id").alias("bad_id"))
+    bad = failures(own, id_column, line, rules, columns).select(F.col("id").alias("bad_id"))
     good = parsed(own, id_column, line).join(bad, F.expr("id <=> bad_id"), "left_anti")
-    typed = [F.nullif(F.get("cells", F.lit(i)), F.lit("")).cast(t).alias(c) for i, (c, t) in enumerate(COLUMNS[feed].items())]
+    typed = [F.nullif(F.get("cells", F.lit(i)), F.lit("")).cast(t).alias(c) for i, (c, t) in enumerate(columns[feed].items())]
     return good.select(F.col("id").alias(id_column), *typed)

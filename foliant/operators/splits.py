@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts that a running sum over all rows is cut into.
-PARTS = 256
+from foliant.functions.text import page_name
+from foliant.operators.numbering import prefix_sums
 
 
 def largest_remainder(total: int, shares: Mapping[str, float]) -> dict[str, int]:
@@ -44,8 +44,7 @@ def hash_ranked_split(units: DataFrame, unit: str, shares: Mapping[str, float],
 
 def running(rows: DataFrame, order: str, weight: str, *keys: str) -> DataFrame:
     """rows with `before`, the sum of weight of all rows earlier in order (unique within keys), and `total`."""
-    over = ("partition by " + ", ".join(keys)) if keys else ""
-    return rows.withColumn("before", F.expr(f"sum({weight}) over ({over} order by {order}) - {weight}")).withColumn("total", F.expr(f"sum({weight}) over ({over})"))
+    return prefix_sums(rows, order, weight, *keys)
 
 
 def prefix(rows: DataFrame, order: str, weight: str, target: int, *keys: str) -> DataFrame:
@@ -59,13 +58,34 @@ def cropped(rows: DataFrame, order: str, items: str, target: int, *keys: str) ->
     return r.withColumn(items, F.slice(items, F.lit(1), F.least(F.col("__n"), F.lit(target) - F.col("before")).cast("int"))).drop("__n", "before", "total")
 
 
-def closest_cut(rows: DataFrame, order: str, weight: str, share: float, *keys: str) -> DataFrame:
-    """(keys, cut, reached): the row after which the running sum is closest to its share of the total."""
+def closest_cut(rows: DataFrame, order: str, weight: str, share: float, *keys: str, least: int = 0) -> DataFrame:
+    """(keys, cut, reached): the row after which the running sum is closest to its share of the total, with at least `least`
+    rows on either side. A key of fewer than twice as many has none."""
     r = running(rows, order, weight, *keys).withColumn("upto", F.col("before") + F.col(weight))
+    if least:
+        r = prefix_sums(r.withColumnRenamed("total", "__total").withColumn("__one", F.lit(1)), order, "__one", *keys, before="__k", total="__n").withColumnRenamed("__total", "total")
+        r = r.where((F.col("__k") + 1 >= least) & (F.col("__n") - F.col("__k") - 1 >= least))
     gap = F.abs(F.col("upto") - F.lit(share) * F.col("total"))
     return r.groupBy(*keys).agg(F.min_by(order, F.struct(gap, order)).alias("cut"), F.min_by("upto", F.struct(gap, order)).alias("reached"))
 
 
+def closing_units(rows: DataFrame, order: str, weight: str, units: int, *keys: str) -> DataFrame:
+    """rows with `unit`: contiguous units, each closed by the row that brings the sum to its share, one at a row, and early
+    where as many rows are left as units. A key of fewer rows than units is an error.
+
+    With t the shares that the sum has reached after a row, the units closed are the least, over earlier rows, of
+    t there and the rows since; at least as many are closed as the rows that are left demand."""
+    r = running(rows, order, weight, *keys).withColumn("__t", F.least(F.floor((F.col("before") + F.col(weight)) * units / F.col("total")), F.lit(units - 1).cast("long")))
+    r = prefix_sums(r.drop("before", "total").withColumn("__one", F.lit(1)), order, "__one", *keys, before="__k", total="__n")
+    over = f"over ({'partition by ' + ', '.join(keys) if keys else ''} order by {order})"
+    place = F.col("__k") + 1
+    free = F.least(place, place + F.expr(f"min(__t - (__k + 1)) {over}"))
+    closed = F.least(F.greatest(free, units - (F.col("__n") - place)), F.lit(units - 1))
+    r = r.withColumn("__c", closed).withColumn("unit", F.expr(f"coalesce(lag(__c) {over}, 0)").cast("int"))
+    checked = F.when(F.col("__n") >= units, F.col("unit")).otherwise(F.raise_error(F.lit(f"fewer rows than {units} units")).cast("int"))
+    return r.withColumn("unit", checked).drop("__t", "__k", "__n", "__c", "__one")
+
+
 def balanced_units(rows: DataFrame, order: str, weight: str, units: int, *keys: str) -> DataFrame:
     """rows with `unit`: contiguous units of about equal weight, by where each row's middle lies."""
     r = running(rows, order, weight, *keys)
@@ -76,7 +96,7 @@ def balanced_units(rows: DataFrame, order: str, weight: str, units: int, *keys:
 def leaf_profiles(loci: DataFrame) -> DataFrame:
     """(leaf, locus_count, folios, section_presence, locus_type_counts): of records with a leaf, each once."""
     last = loci.where("physical_leaf is not null").groupBy("record_id").agg(F.max_by(F.struct("physical_leaf", "folio", "section", "locus_type"), "ingested_at").alias("r")).select("r.*")
-    page = F.lower(F.regexp_replace("folio", r"\s+", ""))
+    page = page_name(F.col("folio"))
     types = last.groupBy("physical_leaf", "locus_type").agg(F.count("*").alias("n")).groupBy("physical_leaf").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("locus_type", "n")))).alias("locus_type_counts"))
     own = last.groupBy("physical_leaf").agg(F.count("*").alias("locus_count"), F.array_sort(F.collect_set(page)).alias("folios"), F.array_sort(F.collect_set(F.coalesce("section", F.lit("UNSET")))).alias("sections"))
     return own.join(types, "physical_leaf").withColumnRenamed("physical_leaf", "leaf")

@@ -115,7 +115,7 @@ def recommended_review(spark, sf):
     return V.recommended(rows, 40, 10, 2).select("line_key", "page", "role", F.col("review_rank").cast("long").alias("review_rank"))
 
 
-_RECORDS = _REC + ", rc as (select *, lower(regexp_replace(folio, '\\s+', '', 'g')) as page from rec)"
+_RECORDS = _REC + ", rc as (select *, regexp_replace(lower(regexp_replace(folio, '\\s+', '', 'g')), '^f0+([0-9])', 'f\\1') as page from rec)"
 _SCORE = "(length({t}) - length(replace({t}, ',', '')) + 2 * len(regexp_extract_all({t}, '\\[[^:\\[\\]]*:[^\\[\\]]*\\]')) + 2 * (length({t}) - length(replace({t}, '?', ''))) + len(regexp_extract_all({t}, '<[-~]>')))".format(t="text_normalized")
 
 

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     return register
 
 
-_NAME = "lower(regexp_replace({}, '\\s+', '', 'g'))"
+_NAME = "regexp_replace(lower(regexp_replace({}, '\\s+', '', 'g')), '^f0+([0-9])', 'f\\1')"
 _LAST = "select any_value(l.record_id) as record_id, any_value(physical_leaf) as physical_leaf, any_value(folio) as folio from loci l group by l.record_id"
 _SPLIT = f"""with leaf as (select leaf, min({_NAME.format('split')}) as split from leaf_split where leaf is not null group by leaf having min({_NAME.format('split')}) = 'validation'),
 link as (select distinct {_NAME.format('folio')} as page, unnest(linked_leaves) as leaf from special_pages),

@@ -28,7 +28,7 @@ _PARSED = ("locus", "line", "locus_type", "locus_subtype", "locator", "transcrib
            "file_header_original", "quire", "currier", "section", "original_lines", "page_header_original", "recto_verso", "foldout_panel")
 
 
-@query(_REC + f" select transcription_id, lower(regexp_replace(folio, '\\s+', '', 'g')) as folio, {', '.join(_PARSED)} from rec")
+@query(_REC + f" select transcription_id, regexp_replace(lower(regexp_replace(folio, '\\s+', '', 'g')), '^f0+([0-9])', 'f\\1') as folio, {', '.join(_PARSED)} from rec")
 def parsed_transcriptions(spark, sf):
     """The records written out as files and parsed again. Columns that hang on lines which the table lacks (numbers of lines,
     tags and paragraphs begun before) are tested on files instead."""
@@ -41,10 +41,10 @@ def parsing_issues(spark, sf):
     return T.issues(T.as_lines(table(spark, sf, "loci"))).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-@query("""with f as (select distinct lower(regexp_replace(folio, '\\s+', '', 'g')) as page from loci)
+@query("""with f as (select distinct regexp_replace(lower(regexp_replace(folio, '\\s+', '', 'g')), '^f0+([0-9])', 'f\\1') as page from loci)
 select page, cast(nullif(regexp_extract(page, '^f(\\d+)([rv])(\\d*)$', 1), '') as integer) as leaf, nullif(regexp_extract(page, '^f(\\d+)([rv])(\\d*)$', 2), '') as side, cast(nullif(regexp_extract(page, '^f(\\d+)([rv])(\\d*)$', 3), '') as integer) as panel from f""")
 def page_names(spark, sf):
-    page = F.lower(F.regexp_replace("folio", r"\s+", "")).alias("page")
+    page = page_name(F.col("folio")).alias("page")
     part = lambda i: F.nullif(F.regexp_extract("page", r"^f(\d+)([rv])(\d*)$", i), F.lit(""))
     return table(spark, sf, "loci").select(page).distinct().select("page", part(1).cast("int").alias("leaf"), part(2).alias("side"), part(3).cast("int").alias("panel"))
 
@@ -58,7 +58,7 @@ def markup_counts(spark, sf):
     return M.markup_counts(table(spark, sf, "loci"), "section")
 
 
-from foliant.functions.text import plain_text  # noqa: E402
+from foliant.functions.text import page_name, plain_text  # noqa: E402
 
 _PLAIN = "text_normalized"
 for _a, _b in ((r"<[-~]>", "."), (r"<[^>]*>", ""), (r"\[([^:\[\]]*):[^\[\]]*\]", r"\1"), (r"[{}]", ""), (r"[.,\s]+", " ")):
@@ -66,7 +66,7 @@ for _a, _b in ((r"<[-~]>", "."), (r"<[^>]*>", ""), (r"\[([^:\[\]]*):[^\[\]]*\]",
 _PLAIN = f"trim({_PLAIN}, ' ')"
 
 
-@query(_P.format(_PLAIN) + """ select transcription_id, count(*) as records, count(distinct lower(regexp_replace(folio, '\\s+', '', 'g'))) as pages, count(distinct physical_leaf) as leaves, count_if(paragraph_start) as paragraphs,
+@query(_P.format(_PLAIN) + """ select transcription_id, count(*) as records, count(distinct regexp_replace(lower(regexp_replace(folio, '\\s+', '', 'g')), '^f0+([0-9])', 'f\\1')) as pages, count(distinct physical_leaf) as leaves, count_if(paragraph_start) as paragraphs,
 sum(len(list_filter(string_split(regexp_replace(regexp_replace(text_normalized, '<[-~]>', '.', 'g'), '<%>|<\\$>|<@[A-Z]=[^>]>|<![^>]*>', '', 'g'), '.'), lambda w: trim(w) <> '')))::bigint as long_words, count_if(text = '') as blank_records from p group by transcription_id""")
 def corpus_report(spark, sf):
     return M.corpus_report(table(spark, sf, "loci"))

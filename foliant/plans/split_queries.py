@@ -87,7 +87,7 @@ def balanced_units(spark, sf):
 @query("""with r as (select record_id, any_value(physical_leaf) as leaf, any_value(folio) as folio, any_value(section) as section, any_value(locus_type) as locus_type from loci where physical_leaf is not null group by record_id),
 t as (select leaf, locus_type, count(*) as n from r group by all)
 select leaf, any_value(locus_count) as locus_count, any_value(folios) as folios, any_value(sections) as sections, map_from_entries(list({'k': locus_type, 'v': n} order by locus_type)) as locus_type_counts
-from t join (select leaf, count(*) as locus_count, list_sort(list(distinct lower(regexp_replace(folio, '\\s+', '', 'g')))) as folios, list_sort(list(distinct coalesce(section, 'UNSET'))) as sections from r group by leaf) using (leaf) group by leaf""")
+from t join (select leaf, count(*) as locus_count, list_sort(list(distinct regexp_replace(lower(regexp_replace(folio, '\\s+', '', 'g')), '^f0+([0-9])', 'f\\1'))) as folios, list_sort(list(distinct coalesce(section, 'UNSET'))) as sections from r group by leaf) using (leaf) group by leaf""")
 def leaf_profiles(spark, sf):
     return S.leaf_profiles(table(spark, sf, "loci"))
 
@@ -129,6 +129,22 @@ def permutation_test(spark, sf):
     return Q.permutation_test(Q.family_occurrences(lines(spark, sf)), 16, 10_000)
 
 
+@query(_W + """, c as (select *, row_number() over (partition by physical_leaf order by record_id) as k, count(*) over (partition by physical_leaf) as cnt, least(floor((before + n) * 5 / total), 4) as t from v),
+d as (select *, least(greatest(least(k, k + min(t - k) over (partition by physical_leaf order by k)), 5 - (cnt - k)), 4) as cl from c where cnt >= 5) select physical_leaf, record_id, coalesce(lag(cl) over (partition by physical_leaf order by k), 0)::integer as unit from d""")
+def closing_units(spark, sf):
+    """Five units of each leaf, closed row by row."""
+    own = _weighted(spark, sf)
+    some = own.groupBy("physical_leaf").count().where("count >= 5").select("physical_leaf")
+    return S.closing_units(own.join(some, "physical_leaf", "left_semi"), "record_id", "n", 5, "physical_leaf").select("physical_leaf", "record_id", "unit")
+
+
+@query(_W + """, c as (select *, row_number() over (partition by physical_leaf order by record_id) as k, count(*) over (partition by physical_leaf) as cnt from v)
+select physical_leaf, arg_min(record_id, (abs(before + n - 0.7::double * total), record_id)) as cut, arg_min(before + n, (abs(before + n - 0.7::double * total), record_id))::bigint as reached from c where k >= 4 and cnt - k >= 4 group by physical_leaf""")
+def floored_cut(spark, sf):
+    """The cut closest to 70 percent with four lines or more on either side."""
+    return S.closest_cut(_weighted(spark, sf), "record_id", "n", 0.7, "physical_leaf", least=4)
+
+
 _PROFILES = _SPLIT + """, pr as (select physical_leaf as leaf, 'currier' as family, currier as category, 1::bigint as n from line where physical_leaf is not null group by all union all select physical_leaf, 'scribe', scribe, 1 from line where physical_leaf is not null group by all
   union all select physical_leaf, 'section', section, 1 from line where physical_leaf is not null group by all union all select physical_leaf, 'locus_type', coalesce(locus_type, 'UNSET'), count(*) from line where physical_leaf is not null group by all
   union all select physical_leaf, 'loci', 'all', count(*) from line where physical_leaf is not null group by all)"""

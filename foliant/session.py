@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -75,6 +76,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df to be broadcast, if it is found to have at most `most` rows; else as it is, for the planner to join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, for exchanges that adaptive execution must not merge as their rows
     are few bytes but much work."""
