@@ -19,15 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import page_leaf, page_name
-from foliant.session import written
+from foliant.session import bounded, written
 
 
 def leaf_ties(units: DataFrame, profiles: DataFrame, special_pages: DataFrame) -> DataFrame:
     """(u, v), u < v: the tied leaves, as stars."""
     special = special_pages.select(page_name(F.col("folio")).alias("page"), page_leaf(F.col("folio")).alias("own"), F.coalesce("linked_leaves", F.array().cast("array<int>")).alias("linked"))
     linked = special.select(F.concat("linked", F.array("own")).alias("leaves"))
-    # pages without a leaf in their name belong to their linked leaves; special pages are few by definition
-    homeless = F.broadcast(special.where("own is null").select("page", "linked"))
+    # pages without a leaf in their name belong to their linked leaves; special pages are broadcast as long as they are few
+    homeless = bounded(special.where("own is null").select("page", "linked"))
 
     def pages_of(rows: DataFrame, key: str, pages: str) -> DataFrame:
         """(key, leaf) of each page that a row names."""
@@ -113,7 +113,7 @@ def page_groups(loci: DataFrame, ties: DataFrame, special_pages: DataFrame) -> D
     special = special_pages.select(page_name(F.col("folio")).alias("page"), F.array_min("linked_leaves").alias("linked"))
     last = loci.groupBy("record_id").agg(F.max_by("folio", F.struct("ingested_at", "folio")).alias("folio"))
     rows = last.select("record_id", page_name(F.col("folio")).alias("page"), page_leaf(F.col("folio")).alias("own"))
-    rows = rows.join(F.broadcast(special), "page", "left").withColumn("leaf", F.coalesce("own", "linked").cast("long"))
+    rows = rows.join(bounded(special), "page", "left").withColumn("leaf", F.coalesce("own", "linked").cast("long"))
     rows = rows.join(found, "leaf", "left")
     return rows.select("record_id", F.coalesce(F.concat(F.lit("leaf "), F.coalesce("root", "leaf")), F.concat(F.lit("page "), "page"), F.lit("none")).alias("group"))
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import page_leaf, page_name, plain_text
-from foliant.session import written
+from foliant.session import bounded, written
 
 #: Characters in an n-gram: the largest n for which n // 9 + 1 disjoint ones fit into n // 9 * 9 + 8 or fewer
 #: characters from MIN_LENGTH on.
@@ -64,8 +64,8 @@ def with_split(loci: DataFrame, leaf_split: DataFrame, special_pages: DataFrame)
     leaves, pages = page_splits(leaf_split, special_pages)
     last = loci.groupBy("record_id").agg(F.max_by(F.struct("transcription_id", "folio", "text_normalized"), F.struct("ingested_at", "text_normalized")).alias("r"))
     rows = last.select("record_id", "r.transcription_id", plain_text(F.col("r.text_normalized")).alias("text"), page_name(F.col("r.folio")).alias("page"), page_leaf(F.col("r.folio")).alias("leaf"))
-    # special pages are few by definition; leaves grow with the corpus and are left to the planner
-    rows = rows.join(F.broadcast(pages.withColumnRenamed("split", "page_split")), "page", "left").join(leaves, "leaf", "left")
+    # special pages are broadcast as long as they are few; leaves grow with the corpus and are left to the planner
+    rows = rows.join(bounded(pages.withColumnRenamed("split", "page_split")), "page", "left").join(leaves, "leaf", "left")
     return rows.select("record_id", "transcription_id", F.coalesce("page_split", "split").alias("split"), "text").where("split is not null")
 
 

@@ -173,7 +173,7 @@ def _plain(column: str) -> str:
 
 
 _LEAF = "try_cast(nullif(regexp_extract(lower(regexp_replace({0}, '\\s+', '', 'g')), '^f(\\d+)[rv]\\d*$', 1), '') as integer)"
-_PAGE = "lower(regexp_replace({0}, '\\s+', '', 'g'))"
+_PAGE = "regexp_replace(lower(regexp_replace({0}, '\\s+', '', 'g')), '^f0+([0-9])', 'f\\1')"
 
 _PAIRS = f"""with sides as (
   select distinct l.record_id, l.transcription_id, {_plain('l.text_normalized')} as text, coalesce(p.split, s.split) as split
