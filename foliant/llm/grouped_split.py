@@ -2,9 +2,9 @@
 
 Method: random-mate contraction. Vertices are leaves, edges tie them. Each round every vertex draws a coin; a
 tail with a head among its neighbours collapses into the smallest such head, and the edges follow. Rounds go on
-until no edge is left (about log n of them), then the collapses are unwound to labels, and the components are
-split by cumulative weight. Every step is a join or an aggregation over edges; no component is ever gathered,
-and each round's tables are written to the shared folder, which cuts the lineage.
+until no edge is left (about log n of them), then the collapses are unwound to labels, halving the way each time, and the
+components are split by cumulative weight. Every step is a join or an aggregation over edges; no component is ever gathered,
+and each round's edges are written to the shared folder, which cuts the lineage.
 
 Ties are emitted as stars around a row's smallest leaf, never as all pairs of a row.
 
@@ -15,6 +15,8 @@ empty tables give an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +65,8 @@ def components(edges: DataFrame, seed: int = 0, most_rounds: int = 200) -> DataF
         if left.isEmpty():
             break
         both = left.union(left.select("v", "u"))
-        mates = both.where(~head("u", turn) & head("v", turn)).groupBy("u").agg(F.min("v").alias("into"))
-        mates = written(mates.withColumnRenamed("u", "vertex"), "mates")
+        # drawn by hash from this round's written edges, so the same whenever they are asked for
+        mates = both.where(~head("u", turn) & head("v", turn)).groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("into"))
         collapsed.append(mates)
         moved = left.join(mates.select(F.col("vertex").alias("u"), F.col("into").alias("u2")), "u", "left")
         moved = moved.join(mates.select(F.col("vertex").alias("v"), F.col("into").alias("v2")), "v", "left")
@@ -72,16 +74,19 @@ def components(edges: DataFrame, seed: int = 0, most_rounds: int = 200) -> DataF
         left = written(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
     else:
         raise RuntimeError(f"edges are left after {most_rounds} rounds")
-    labels = None
-    for mates in reversed(collapsed):
-        if labels is None:
-            labels = mates.select("vertex", F.col("into").alias("root"))
-        else:
-            later = labels.select(F.col("vertex").alias("into"), "root")
-            labels = written(labels.unionByName(mates.join(later, "into", "left").select("vertex", F.coalesce("root", "into").alias("root"))), "labels")
-    if labels is None:
+    if not collapsed:
         return vertices.select("vertex", F.col("vertex").alias("root"))
-    whole = vertices.join(labels, "vertex", "left").select("vertex", F.coalesce("root", "vertex").alias("at"))
+    # every vertex collapses once at most, so what it collapsed into makes a forest no deeper than the rounds; each
+    # turn halves the way to the last one
+    labels = written(reduce(DataFrame.unionByName, collapsed), "labels")
+    while True:
+        later = labels.select(F.col("vertex").alias("into"), F.col("into").alias("after"))
+        jumped = labels.join(later, "into", "left").select("vertex", F.coalesce("after", "into").alias("into"), F.col("after").isNotNull().alias("moved"))
+        jumped = written(jumped, "labels")
+        labels = jumped.select("vertex", "into")
+        if jumped.where("moved").isEmpty():
+            break
+    whole = vertices.join(labels, "vertex", "left").select("vertex", F.coalesce("into", "vertex").alias("at"))
     least = whole.groupBy("at").agg(F.min("vertex").alias("root"))
     return whole.join(least, "at").select("vertex", "root")
 
