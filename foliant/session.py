@@ -21,7 +21,7 @@ _SETTINGS = {
 _written: dict[str, tuple[SparkSession, object]] = {}
 #: Tables made since unused ones were last looked for.
 _since = 0
-SWEEP_EVERY = 16
+SWEEP_EVERY = 64
 #: The temporary folder of each local application that names none.
 _own: dict[str, str] = {}
 
