@@ -29,6 +29,19 @@ def analytical_lines(analytical: DataFrame) -> DataFrame:
     return last.withColumns(labels).withColumn("tokens", clean_tokens(F.col("tokens")))
 
 
+def lines_of_records(records: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Lines as analytical_lines has them, from records of native text and the rules of its alphabet: drawing gaps, stops and
+    blanks part tokens, braces go, the first of alternative readings stands. A word that stays unconverted is an
+    unreadable token."""
+    from foliant.functions.text import plain_text
+    from foliant.sources.rules import converted
+
+    words = F.filter(F.split(plain_text(F.col("text_normalized")), " "), lambda w: w != "")
+    codes = F.transform(words, lambda w: F.coalesce(F.regexp_extract_all(converted(w, rules), F.lit(r"([A-Z][1-9a-z])"), 1), F.array(F.lit(UNKNOWN))))
+    labels = {c: F.coalesce(c, F.lit(UNSET)) for c in ("section", "currier", "scribe")}
+    return records.select("record_id", *_META, clean_tokens(codes).alias("tokens")).withColumns(labels)
+
+
 def tokens(lines: DataFrame, *keep: str) -> DataFrame:
     """(record_id, keep…, token_index, glyphs, tok): tok joins the glyphs by U+001F, so it is one-to-one."""
     each = lines.select("record_id", *keep, F.posexplode("tokens").alias("token_index", "glyphs"))

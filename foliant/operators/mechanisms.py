@@ -54,15 +54,11 @@ def train(words: DataFrame) -> DataFrame:
     return words.where("split = 'train'")
 
 
-def open_lines(words: DataFrame) -> DataFrame:
-    return words.where("split in ('train', 'validation')")
-
-
-def with_base(words: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(words with `base`, the key's one row)."""
+def with_base(words: DataFrame, seed: int, phases: Sequence[str] = ("train", "validation")) -> tuple[DataFrame, DataFrame]:
+    """(words of the phases with `base`, the key's one row); the key is train's."""
     key = alphabet_key(train(words), seed)
     known = F.transform(_characters(F.col("word")), lambda c: F.coalesce(glyph("M", F.col("number")[c] + 1), code_point_glyph(c)))
-    rows = open_lines(words).join(F.broadcast(key))
+    rows = words.where(F.col("split").isin(*phases)).join(F.broadcast(key))
     return rows.withColumn("base", known).drop("number", "item"), key
 
 
@@ -117,11 +113,13 @@ def permutation(key: Column, seed: int, turn: Column) -> Column:
     return F.transform(order, lambda x: x["v"])
 
 
-def allocated(words: DataFrame, scheme: str = "recurrence", seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def allocated(words: DataFrame, scheme: str = "recurrence", seed: int = 0, phases: Sequence[str] = ("train", "validation")) -> tuple[DataFrame, DataFrame]:
     """Base form and a suffix handed out by how often the word came before: in the word's own order over and over, in a
-    new order each sixteen times, or drawn anew (iid). Counts run through train, then on through validation."""
-    rows, key = with_base(words, seed)
-    rows = rows.withColumn("__at", F.when(F.col("split") == "train", F.col("line").cast("long")).otherwise(F.col("line") + F.lit(_PHASE)))
+    new order each sixteen times, or drawn anew (iid). Counts run through the phases in their order, whatever the lines'
+    numbers; lines of other splits are neither written nor counted."""
+    rows, key = with_base(words, seed, phases)
+    phase = F.array_position(F.array(*map(F.lit, phases)), F.col("split")) - 1
+    rows = rows.withColumn("__at", F.col("line").cast("long") + phase * F.lit(_PHASE))
     rows = numbered_within(rows, "word", ("__at", "token"), "occurrence").drop("__at")
     turn = F.floor(F.col("occurrence") / VARIANTS) if scheme == "shuffled" else F.lit(0).cast("long")
     if scheme == "iid":

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.text import page_name
+from foliant.session import bounded
 
 
 def violations(name: str, rows: DataFrame) -> DataFrame:
@@ -84,6 +85,18 @@ def selected(records: DataFrame, leaves: DataFrame, special_pages: DataFrame, sp
     return select_by_leaves(records, leaves, special_pages, **names)
 
 
+def leaf_groups(records: DataFrame, special_pages: DataFrame, leaf: str = "physical_leaf", folio: str = "folio") -> DataFrame:
+    """records with `leaf_group`: the leaf, or all leaves that a special page links (f85+f86), for these leaves and the page
+    itself; null for a record with neither a leaf nor a special page."""
+    linked = F.array_sort(F.array_distinct(F.filter("linked_leaves", lambda x: x.isNotNull())))
+    label = F.array_join(F.transform(linked, lambda x: F.concat(F.lit("f"), x.cast("string"))), "+")
+    pages = special_pages.select(page_name(F.col("folio")).alias("__page"), label.alias("__of_page"), linked.alias("__l")).dropDuplicates(["__page"])
+    leaves = pages.select(F.explode("__l").alias(leaf), F.col("__of_page").alias("__of_leaf")).groupBy(leaf).agg(F.min("__of_leaf").alias("__of_leaf"))
+    rows = records.withColumn("__page", page_name(F.col(folio))).join(bounded(pages.drop("__l")), "__page", "left").join(bounded(leaves), leaf, "left")
+    group = F.coalesce("__of_leaf", F.when(F.col(leaf).isNotNull(), F.concat(F.lit("f"), F.col(leaf).cast("string"))), "__of_page")
+    return rows.withColumn("leaf_group", group).select(*records.columns, "leaf_group")
+
+
 def cover_checks(parts: DataFrame, whole: DataFrame, part: str = "part", item: str = "item") -> DataFrame:
     """parts (part, item) against whole (item): foreign items, items in two parts, items in none."""
     own = parts.select(part, item).distinct()

@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def upper_bound_bin(value: Column, bounds: Sequence[float], open_end: bool = True) -> Column:
+def upper_bound_bin(value: Column, bounds: Sequence[float], open_end: bool = True, strict: bool = False) -> Column:
     """The first bound that value doesn't exceed, as a label; beyond the last `>bound`, or null if not open_end.
-    Null and negative values have none."""
+    Null and negative values have none; strict: a negative value, or one beyond a closed end, is an error when it is read."""
+    if any(b <= a for a, b in zip(bounds, bounds[1:])):
+        raise ValueError("bounds must rise")
+    if strict:
+        bad = (value < 0) if open_end else (value < 0) | (value > bounds[-1])
+        value = F.when(bad, F.raise_error(F.concat(F.lit("no bin for "), value.cast("string"))).cast("double")).otherwise(value)
     out = F.when(value.isNull() | (value < 0), None)
     for b in bounds:
         out = out.when(value <= b, f"<={b}")

@@ -132,3 +132,10 @@ def reading_distances(spark, sf):
     v = table(spark, sf, "readings").where(t != "").groupBy("locus").agg(F.collect_set(F.split(t, " ")).alias("v"))
     alike = v.where((F.size("v") > 1) & (F.size(F.array_distinct(F.transform("v", F.size))) == 1))
     return alike.select("locus", F.round(Z.pairwise_hamming(F.col("v")), 6).alias("distance"))
+
+
+@query(f"""with rec as ({_LAST}), sp as (select distinct {_NAME.format('folio')} as page, list_sort(list_distinct(list_filter(linked_leaves, lambda x: x is not null))) as l from special_pages),
+g as (select page, l, array_to_string(list_transform(l, lambda x: 'f' || x), '+') as label from sp), lv as (select leaf, min(label) as label from (select unnest(l) as leaf, label from g) group by leaf)
+select record_id, coalesce(lv.label, 'f' || physical_leaf, g.label) as leaf_group from rec left join g on g.page = {_NAME.format('rec.folio')} left join lv on lv.leaf = rec.physical_leaf""")
+def leaf_groups(spark, sf):
+    return S.leaf_groups(compare.records(table(spark, sf, "loci")), table(spark, sf, "special_pages")).select("record_id", "leaf_group")

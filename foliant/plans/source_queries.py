@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.operators import compare as M
+from foliant.operators import corpus as C
 from foliant.sources import rules as U
 from foliant.sources import transcription as T
 from foliant.session import table
@@ -135,3 +136,13 @@ def glyph_counts(spark, sf):
     codes = U.converted(F.regexp_replace(U.first_alternatives(F.col("text_normalized")), r"[{}]", ""), rules)
     rows = own.select("transcription_id", U.glyph_count(codes).alias("plain"), U.glyph_count(codes, True).alias("collapsed"), U.semantic_count(F.regexp_replace("text_normalized", r"[{}]", ""), rules).alias("semantic"))
     return rows.groupBy("transcription_id").agg(F.sum("plain").alias("glyphs"), F.sum("collapsed").alias("collapsed"), F.when(F.bool_and(F.col("semantic").isNotNull()), F.sum("semantic")).alias("semantic"), F.count_if(F.col("semantic").isNull()).alias("without"))
+
+
+_CODED = f"select record_id, token_index, coalesce(regexp_extract_all(codes, '[A-Z][1-9a-z]'), ['Z1']) as g from ({_CONVERT})"
+
+
+@query(f"with cd as ({_CODED}) select record_id, list(g order by token_index) as tokens from cd where len(g) > 0 group by record_id")
+def lines_of_records(spark, sf):
+    """Records of native text as lines of tokens of glyph codes."""
+    own = C.lines_of_records(M.records(table(spark, sf, "loci")), U.ordered(table(spark, sf, "sta_rules")))
+    return own.where("size(tokens) > 0").select("record_id", "tokens")
