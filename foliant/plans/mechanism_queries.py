@@ -3,6 +3,7 @@ in turns of twenty."""
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -180,7 +181,17 @@ def related_code_diagnostics(spark, sf):
 TARGETS = (16, 64, 256)
 
 
-@query()
+_H = int(hashlib.sha256(b"family|0").hexdigest()[:8], 16)
+_MASTER = _TOP.format(256) + f""", fm as (select word, rank, cast((rank * {2 * (_H % 2048) + 1} + {_H // 4096}) % 4096 as integer) as f, list_transform(list_sort(list_transform({_SYMBOLS}, lambda g: {{'d': {_draw("0", "'last'", "word", "g")}, 'g': g}})), lambda x: x.g)[1:4] as lasts from top),
+cf as (select word, rank, list_transform(lasts, lambda g: [{_SYMBOLS}[f // 256 % 16 + 1], {_SYMBOLS}[f // 16 % 16 + 1], {_SYMBOLS}[f % 16 + 1], g]) as forms from fm)"""
+
+
+def _covered(active: int) -> str:
+    v = _draw("0", "'form'", "line", "token", "op.word")
+    return f"select '{active}' as grp, op.word, split, case when rank < {active} then forms[cast({v} % 4 + 1 as integer)] else base end as cipher, coalesce(rank < {active}, false) as targeted from op left join cf using (word)"
+
+
+@query(_W + _MASTER + ", e as (" + " union all ".join(map(_covered, TARGETS)) + ")" + _FIGURES)
 def coverage_diagnostics(spark, sf):
     """The most frequent words as codes of one master key, of which 16, 64 and 256 are in use."""
     w = words(spark, sf)
