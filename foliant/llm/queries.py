@@ -69,6 +69,16 @@ def p5_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return _readings(spark, sf)[0].withColumnsRenamed({"item": "locus", "label": "canonical_glyph_text"})
 
 
+def p5_readers(spark: SparkSession, sf: str) -> DataFrame:
+    """The loci that get a consensus, with how many read them."""
+    return _readings(spark, sf)[0].select(F.col("item").alias("locus"), F.col("readers").cast("long").alias("readers"))
+
+
+def p5_unanimous(spark: SparkSession, sf: str) -> DataFrame:
+    """The consensus where all readers agree, which is what they read."""
+    return _readings(spark, sf)[0].where("agreement = 1").select(F.col("item").alias("locus"), F.col("label").alias("canonical_glyph_text"))
+
+
 def p5_reliability(spark: SparkSession, sf: str) -> DataFrame:
     return _readings(spark, sf)[1].withColumnRenamed("annotator", "transcription_id")
 
@@ -158,7 +168,7 @@ def p9_counts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p1_containment, p2_found, p2_terms, p2_runs, p5_found, p5_agreement, p5_reliability, p6_found, p6_split, p6_checks,
+        p1_found, p1_report, p1_containment, p2_found, p2_terms, p2_runs, p5_found, p5_agreement, p5_readers, p5_unanimous, p5_reliability, p6_found, p6_split, p6_checks,
         p7_ids, p7_decoded, p8_packed, p8_fill, p8_checks, p9_found, p9_statistics, p9_counts,
     )
 }
@@ -236,7 +246,13 @@ x as (select doc_id, list_filter(regexp_split_to_array(t, '\r\n|[\n\r\x0b\x0c\x1
 w as (select doc_id, len(l) as lines, regexp_extract_all(array_to_string(l, chr(10)), '[\pL\pM]+(?:[''’][\pL\pM]+)*') as w from x)
 select doc_id, len(w) as words, lines, round(len(array_to_string(w, '')) / greatest(len(w), 1), 6) as mean_word_length from w"""
 
+_LABELS = """with last as (select locus, transcription_id, arg_max(coalesce(canonical_glyph_text, ''), (read_at, reading_id)) as t from readings where locus is not null and transcription_id is not null group by all),
+lb as (select locus, trim(regexp_replace(t, '\\s+', ' ', 'g')) as t from last where trim(regexp_replace(t, '\\s+', ' ', 'g')) <> '')
+"""
+
 ORACLE = {
+    "p5_readers": _LABELS + "select locus, count(*) as readers from lb group by locus having count(*) >= 3",
+    "p5_unanimous": _LABELS + "select locus, any_value(t) as canonical_glyph_text from lb group by locus having count(*) >= 3 and count(distinct t) = 1",
     "p1_containment": _PAIRS.replace("b.split, b.transcription_id", "b.split, b.transcription_id, levenshtein(a.text, b.text) as edits, string_split(a.text, ' ') as wa, string_split(b.text, ' ') as wb")
     + f"select train_record, eval_record, split, transcription_id, edits, round(len(list_intersect({_GRAMS.format(w='wb')}, {_GRAMS.format(w='wa')})) / len({_GRAMS.format(w='wb')}), 6) as containment from pairs",
     "p6_checks": _GROUPS + """select 'groups_in_two_splits' as "check", 0::bigint as violations union all select 'without_a_split', 0 union all select 'off_share', 0 union all select 'records', count(*) from grp union all select 'groups', count(distinct g) from grp""",
