@@ -42,7 +42,7 @@ from foliant.session import bounded, written
 GRAM = 7
 MIN_LENGTH = 40
 #: Log2 of the slots of the table of n-gram frequencies, at least and at most: four slots for each n-gram between.
-LEAST_BITS, MOST_BITS = 12, 20
+LEAST_BITS, MOST_BITS = 12, 18
 #: Entries of one n-gram that one part takes, about, and entries of one partition of the join.
 HOT, PART = 20_000, 500_000
 #: Characters of a stretch, a multiple of 9; the last one of a text is half to one and a half times as long.
