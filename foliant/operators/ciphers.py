@@ -49,8 +49,8 @@ def alphabet_key(words: DataFrame, seed: int) -> DataFrame:
 
 def glyph(prefix: str, number: Column) -> Column:
     """The prefix and the number, in four digits or as many as it takes."""
-    digits = number.cast("string")
-    return F.concat(F.lit(prefix), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
+    # the number is named once: it may hold a draw
+    return F.regexp_replace(F.concat(F.lit(prefix + "000"), number.cast("string")), rf"^({re.escape(prefix)})0+(?=\d{{4}}$|[1-9]\d{{4,}}$)", "$1")
 
 
 def number_of(g: Column) -> Column:
