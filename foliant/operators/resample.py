@@ -15,6 +15,12 @@ def draw(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
 
 
+def draw64(*parts: Column | str) -> Column:
+    """A draw from 0 to 2^64 - 1, as a decimal: the first eight bytes of the parts' SHA-256."""
+    text = F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+
+
 def paired_bootstrap(deltas: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     """deltas (unit, delta_bits, events) → (replicate, delta): ratio of sums over units drawn with replacement.
     Units are numbered in parts of a hash, so no task holds them all; draws meet units by number."""
@@ -97,3 +103,27 @@ def against_others(rows: DataFrame, unit: str, value: str) -> DataFrame:
     var = F.try_divide(F.col("q") - F.col(value) * F.col(value), F.col("n") - 1) - m * m
     sd = F.sqrt(F.greatest(var, F.lit(0.0)))
     return own.select(unit, value, F.round(m, 6).alias("others_mean"), F.round(sd, 6).alias("others_sd"), F.round(F.when(sd > 1e-9, (F.col(value) - m) / sd), 6).alias("z"))
+
+
+def anomalies(rows: DataFrame, unit: str, *values: str) -> DataFrame:
+    """(unit, feature, value, others_mean, others_sd, z, percentile, median): each unit against all the others in each of the
+    values, with its place among all and the median of all. A unit without a value is left out of it."""
+    out = None
+    for v in values:
+        own = rows.select(unit, F.col(v).cast("double").alias("value")).where("value is not null")
+        median = own.agg(F.round(F.percentile("value", 0.5), 6).alias("median"))
+        placed = percentile_rank(own, "value").select(unit, F.col("value_percentile").alias("percentile"))
+        one = against_others(own, unit, "value").join(placed, unit).join(F.broadcast(median)).withColumn("feature", F.lit(v))  # one row
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def conditional_correlation(rows: DataFrame, x: str, y: str, condition: Column, *keys: str) -> DataFrame:
+    """correlation over the rows that meet a condition, with how many don't (n_omitted); a key none of whose rows do comes out
+    with no pairs."""
+    meets = F.coalesce(condition, F.lit(False))
+    kept = rows.withColumns({f"__{c}": F.when(meets, F.col(c)) for c in (x, y)})
+    own = correlation(kept, f"__{x}", f"__{y}", *keys)
+    omitted = kept.groupBy(*keys).agg(F.count_if(~meets).alias("n_omitted"))
+    both = own.join(omitted, list(keys)) if keys else own.join(F.broadcast(omitted))
+    return both.withColumn("n_missing", F.col("n_missing") - F.col("n_omitted"))

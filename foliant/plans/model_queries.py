@@ -205,3 +205,29 @@ def copy_edit_score(spark, sf):
     model.fit(t.where("not held").select("glyphs", "history"))
     s = Z.copy_scores(t.where("held"), model, "unit")
     return s.agg(F.sum("tokens").alias("tokens"), F.round(F.sum("bits") / F.sum("events"), 6).alias("bits_per_event"), F.round(F.sum("copies") / F.sum("contextual"), 6).alias("copy_share"))
+
+
+_Z = """select physical_leaf, '{0}' as feature, x as value, round(m, 6) as others_mean, round(sqrt(greatest(q - m * m, 0)), 6) as others_sd, round(case when sqrt(greatest(q - m * m, 0)) > 1e-9 then (x - m) / sqrt(greatest(q - m * m, 0)) end, 6) as z, percentile, median
+from (select physical_leaf, x, (sum(x) over () - x) / (count(*) over () - 1) as m, (sum(x * x) over () - x * x) / (count(*) over () - 1) as q, round((rank() over (order by x) - 1 + count(*) over (partition by x) / 2) / count(*) over (), 6) as percentile,
+  round((select quantile_cont({0}::double, 0.5) from g), 6) as median from (select physical_leaf, {0}::double as x from g where {0} is not null))"""
+
+
+@query(_F + " " + " union all ".join(_Z.format(c) for c in ("tokens", "types", "type_token_ratio")))
+def leaf_anomaly_table(spark, sf):
+    """Each leaf against all others in three features, with its place and the median."""
+    return R.anomalies(_features(spark, sf), "physical_leaf", "tokens", "types", "type_token_ratio")
+
+
+@query(_F + """ select physical_leaf % 3 as part, count_if(tokens > 20 and boundary_entropy is not null) as n, count_if(tokens > 20 and boundary_entropy is null) as n_missing, count_if(not coalesce(tokens > 20, false)) as n_omitted,
+round(corr(case when tokens > 20 then tokens end, boundary_entropy), 6) as r from g group by 1""")
+def leaf_conditional_correlation(spark, sf):
+    """Tokens against boundary entropy over leaves of more than twenty tokens, in three parts."""
+    g = _features(spark, sf).withColumn("part", F.col("physical_leaf") % 3)
+    return R.conditional_correlation(g, "tokens", "boundary_entropy", F.col("tokens") > 20, "part")
+
+
+@query(BASE + " select distinct physical_leaf, (('0x' || substr(sha256('5|' || physical_leaf), 1, 16))::ubigint)::varchar as drawn from line where physical_leaf is not null")
+def leaf_draws(spark, sf):
+    """A 64-bit draw for each leaf."""
+    own = lines(spark, sf).where("physical_leaf is not null").select("physical_leaf").distinct()
+    return own.select("physical_leaf", R.draw64(F.lit(5), "physical_leaf").cast("string").alias("drawn"))
