@@ -68,28 +68,36 @@ def top_pairs(words: DataFrame, most: int, least: int = 3) -> list[str]:
     return [r["pair"] for r in n.orderBy(F.desc("n"), "pair").limit(most).collect()]
 
 
-def encoded(words: DataFrame, family: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """((line, token, word, cipher), the key's one row)."""
+def _spelled(times: int, f) -> Column:
+    """What f makes of each number of a key's row, and of up to `times` as many: spelled once, not for each character."""
+    return F.transform(F.sequence(F.lit(0), F.size("number") * times), f)
+
+
+def encoded(words: DataFrame, family: str, seed: int = 0, key: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((line, token, word, cipher), the key's one row). key: the words' alphabet_key by this seed, if it is there already;
+    a syllabic cipher has a key of its own."""
     if family == "transposition":
-        return _transposed(words, seed)
+        return _transposed(words, seed, key)
     if family == "syllabic":
         # leftmost pairs first, else one character
         units = "|".join([*map(re.escape, top_pairs(words, 16)), "(?s:.)"])
         cut = F.regexp_extract_all("word", F.lit(f"({units})"), 1)
         key = _key(words.select(F.explode(cut).alias("c")), seed)
-        rows = words.join(F.broadcast(key))
-        return rows.select("line", "token", "word", F.transform(cut, lambda u: glyph("G", F.col("number")[u])).alias("cipher")), key
-    key = alphabet_key(words, seed)
-    rows = words.join(F.broadcast(key))
+        rows = words.join(F.broadcast(key.withColumn("spelled", _spelled(1, lambda r: glyph("G", r)))))
+        return rows.select("line", "token", "word", F.transform(cut, lambda u: F.get("spelled", F.col("number")[u])).alias("cipher")), key
+    key = alphabet_key(words, seed) if key is None else key
+    pair = lambda r: F.array(glyph("A", F.floor(r / 16)), glyph("B", r % 16))
+    spelled = _spelled(1, pair) if family == "verbose" else _spelled(3, lambda r: glyph("G", r))
+    rows = words.join(F.broadcast(key.withColumn("spelled", spelled)))
     chars, n = _characters(F.col("word")), lambda c: F.col("number")[c]
-    mono = F.transform(chars, lambda c: glyph("G", n(c)))
+    mono = F.transform(chars, lambda c: F.get("spelled", n(c)))
     at = lambda i, what: draw(F.lit(seed), F.lit(what), "line", "token", i)
     if family == "mono":
         cipher = mono
     elif family == "homophonic":
-        cipher = F.transform(chars, lambda c, i: glyph("G", n(c) * 3 + at(i, "homophone") % 3))
+        cipher = F.transform(chars, lambda c, i: F.get("spelled", (n(c) * 3 + at(i, "homophone") % 3).cast("int")))
     elif family == "verbose":
-        cipher = F.flatten(F.transform(chars, lambda c: F.array(glyph("A", F.floor(n(c) / 16)), glyph("B", n(c) % 16))))
+        cipher = F.flatten(F.transform(chars, lambda c: F.get("spelled", n(c))))
     elif family == "nulls":
         none = F.array().cast("array<string>")
         cipher = F.flatten(F.transform(mono, lambda g, i: F.concat(F.array(g), F.when(at(i, "null") % 10 < 2, F.array(glyph("N", at(i, "which") % 4))).otherwise(none))))
@@ -103,12 +111,13 @@ def encoded(words: DataFrame, family: str, seed: int = 0) -> tuple[DataFrame, Da
     return rows.select("line", "token", "word", cipher.alias("cipher")), key
 
 
-def decoded(cipher: DataFrame, key: DataFrame, family: str) -> DataFrame:
-    """(line, token, restored) of cipher words."""
+def decoded(cipher: DataFrame, key: DataFrame, family: str, *keep: str) -> DataFrame:
+    """(line, token, keep…, restored) of cipher words (line, token, keep…, cipher)."""
     if family == "transposition":
-        return _restored(cipher, key)
-    rows = cipher.join(F.broadcast(key))
-    item = lambda number: F.col("item")[number]
+        return _restored(cipher, key, *keep)
+    items = F.transform(F.sort_array(F.map_entries("item")), lambda e: e["value"])  # numbers begin with 0: places of an array
+    rows = cipher.join(F.broadcast(key.withColumn("item", items)))
+    item = lambda number: F.get("item", number.cast("int"))
     each = lambda g, f: F.array_join(F.transform(g, f), "")
     c = F.col("cipher")
     if family == "homophonic":
@@ -122,43 +131,70 @@ def decoded(cipher: DataFrame, key: DataFrame, family: str) -> DataFrame:
         word = each(c, lambda g: F.when(g.startswith("W"), F.col("coded")[number_of(g)]).otherwise(item(number_of(g))))
     else:
         word = each(c, lambda g: item(number_of(g)))
-    return rows.select("line", "token", word.alias("restored"))
+    return rows.select("line", "token", *keep, word.alias("restored"))
+
+
+def _columns(n: Column, seed: int) -> list[tuple[int, Column, Column]]:
+    """(column, its length, how many places are read out before it) of a line of n places, in the order of reading."""
+    rank = sorted(range(COLUMNS), key=lambda k: (k * 7 + seed * 3) % COLUMNS)
+    out, before = [], F.lit(0)
+    for c in sorted(range(COLUMNS), key=lambda k: rank[k]):
+        size = F.floor((n + (COLUMNS - 1 - c)) / COLUMNS).cast("int")
+        out.append((c, size, before))
+        before = before + size
+    return out
 
 
 def _order(n: Column, seed: int) -> Column:
     """Places of a line in the order in which its columns are read out."""
-    rank = F.array(*[F.lit(x) for x in sorted(range(COLUMNS), key=lambda k: (k * 7 + seed * 3) % COLUMNS)])
-    places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(rank, i % COLUMNS).alias("r"), F.floor(i / COLUMNS).alias("row"), i.alias("i")))
-    return F.transform(F.array_sort(places), lambda p: p["i"])
+    none = F.array().cast("array<int>")
+    return F.flatten(F.array(*[F.when(n > c, F.sequence(F.lit(c), n - 1, F.lit(COLUMNS))).otherwise(none) for c, _, _ in _columns(n, seed)]))
+
+
+def _before(n: Column, seed: int) -> Column:
+    """By column: how many places are read out before it."""
+    return F.array(*[before for _, _, before in sorted(_columns(n, seed), key=lambda x: x[0])])
+
+
+def _once(value: Column, f) -> Column:
+    """f(value), where f names it within a lambda: else the planner may put its whole expression there, to run each time."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _lengths(flat: Column, sizes: Column) -> Column:
     """A flat array cut into pieces of the given sizes."""
     upto = F.transform(F.sequence(F.lit(1), F.size(sizes)), lambda k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, x: a + x))
-    return F.transform(F.arrays_zip(sizes.alias("s"), upto.alias("e")), lambda z: F.slice(flat, z["e"] - z["s"] + 1, z["s"]))
+    ends = F.arrays_zip(sizes.alias("s"), upto.alias("e"))
+    return _once(flat, lambda own: F.transform(ends, lambda z: F.slice(own, z["e"] - z["s"] + 1, z["s"])))
+
+
+def _by_line(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+    """(line, tokens: the line's (token, keep…) in order, l: the column's values in that order)."""
+    own = rows.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("token", *keep, column))).alias("l"))
+    return own.select("line", F.transform("l", lambda x: F.struct(*[x[c].alias(c) for c in ("token", *keep)])).alias("tokens"), F.transform("l", lambda x: x[column]).alias("l"))
 
 
-def _by_line(rows: DataFrame, column: str) -> DataFrame:
-    own = rows.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("token", column))).alias("l"))
-    return own.select("line", F.transform("l", lambda x: x["token"]).alias("tokens"), F.transform("l", lambda x: x[column]).alias("l"))
+def _by_token(lines: DataFrame, *keep: str) -> DataFrame:
+    """(line, token, keep…, cipher) of lines (line, tokens, l)."""
+    each = lines.select("line", F.inline(F.arrays_zip(F.col("tokens").alias("at"), F.col("l").alias("cipher"))))
+    return each.select("line", *[F.col("at")[c].alias(c) for c in ("token", *keep)], "cipher")
 
 
-def _transposed(words: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    mono, key = encoded(words, "mono", seed)
-    lines = _by_line(mono, "cipher").withColumn("flat", F.flatten("l")).withColumn("sizes", F.transform("l", F.size))
-    moved = F.transform(_order(F.size("flat"), seed), lambda i: F.element_at("flat", i + 1))
+def _transposed(words: DataFrame, seed: int, key: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    mono, key = encoded(words.repartition("line"), "mono", seed, alphabet_key(words, seed) if key is None else key)  # words move, not their glyphs
+    lines = _by_line(mono, "cipher", "word").withColumn("flat", F.flatten("l")).withColumn("sizes", F.transform("l", F.size))
+    moved = _once(F.col("flat"), lambda flat: F.transform(_order(F.size(flat), seed), lambda i: F.get(flat, i)))
     cut = lines.withColumn("moved", moved).withColumn("l", _lengths(F.col("moved"), F.col("sizes")))
-    each = cut.select("line", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("l").alias("cipher"))))
-    return each.toDF("line", "token", "cipher").join(words, ["line", "token"]).select("line", "token", "word", "cipher"), key.withColumn("seed", F.lit(seed))
+    return _by_token(cut, "word"), key.withColumn("seed", F.lit(seed))
 
 
-def _restored(cipher: DataFrame, key: DataFrame) -> DataFrame:
+def _restored(cipher: DataFrame, key: DataFrame, *keep: str) -> DataFrame:
     seed = key.select("seed").first()["seed"]
-    lines = _by_line(cipher, "cipher").withColumn("flat", F.flatten("l")).withColumn("sizes", F.transform("l", F.size))
-    pairs = F.arrays_zip(_order(F.size("flat"), seed).alias("i"), F.col("flat").alias("g"))
-    cut = lines.withColumn("back", F.transform(F.array_sort(pairs), lambda p: p["g"])).withColumn("l", _lengths(F.col("back"), F.col("sizes")))
-    each = cut.select("line", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("l").alias("cipher")))).toDF("line", "token", "cipher")
-    return decoded(each, key.drop("seed"), "mono")
+    lines = _by_line(cipher, "cipher", *keep).withColumn("flat", F.flatten("l")).withColumn("sizes", F.transform("l", F.size))
+    at = lambda flat, before: F.transform(flat, lambda _, i: F.get(flat, F.get(before, i % COLUMNS) + F.floor(i / COLUMNS).cast("int")))
+    back = _once(F.col("flat"), lambda flat: _once(_before(F.size(flat), seed), lambda before: at(flat, before)))
+    cut = lines.withColumn("back", back).withColumn("l", _lengths(F.col("back"), F.col("sizes")))
+    return decoded(_by_token(cut, *keep), key.drop("seed"), "mono", *keep)
 
 
 def variants(words: DataFrame, scheme: str, count: int = CYCLE, seed: int = 0) -> DataFrame:

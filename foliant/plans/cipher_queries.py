@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import ciphers as K
 from foliant.plans.source_queries import _P, _PLAIN
-from foliant.session import table
+from foliant.session import shuffle_parts, table, written
 
 QUERIES, ORACLE = {}, {}
 
@@ -29,11 +29,12 @@ _WORDS = _P.format(_PLAIN) + """, words as (select line, i - 1 as token, w as wo
 @query(_WORDS + " select unnest(['" + "', '".join(K.FAMILIES) + "']) as family, count(*) as tokens, count(*) as restored from words")
 def cipher_round_trips(spark, sf):
     """Tokens of each family that decoding gives back: all of them."""
-    words = K.plain_words(table(spark, sf, "loci"))
+    words = written(K.plain_words(table(spark, sf, "loci")).repartition(shuffle_parts(spark)), "words")  # all families read them
+    alphabet = written(K.alphabet_key(words, 0), "key")
 
     def one(family: str):
-        cipher, key = K.encoded(words, family)
-        both = cipher.select("line", "token", "word").join(K.decoded(cipher.select("line", "token", "cipher"), key, family), ["line", "token"])
+        cipher, key = K.encoded(words, family, key=alphabet)
+        both = K.decoded(cipher, key, family, "word")  # the word goes along: decoding sees the cipher and the key
         return both.agg(F.lit(family).alias("family"), F.count("*").alias("tokens"), F.count_if(F.col("word") == F.col("restored")).alias("restored"))
 
     return reduce(lambda a, b: a.unionByName(b), map(one, K.FAMILIES))

@@ -160,3 +160,14 @@ def test_every_query_has_a_name_and_sql_names_a_query():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) > 60
+
+
+def test_cipher_round_trips_reads_words_once(spark, tmp_path):
+    from foliant.plans.cipher_queries import cipher_round_trips
+
+    rows = [(1, "daiin.shedy", 0), (None, "qokeedy.ol", 0), (2, "chol", 0)]
+    spark.createDataFrame(rows, "record_id long, text_normalized string, ingested_at long").write.parquet(str(tmp_path / "loci.parquet"))
+    out = cipher_round_trips(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "loci.parquet" not in plan and "SortMergeJoin" not in plan  # neither parsed anew nor joined by each family
+    assert {(r["family"], r["tokens"], r["restored"]) for r in out.collect()} == {(f, 5, 5) for f in K.FAMILIES}
