@@ -27,11 +27,15 @@ def _ended(spark, sf: str, make, mode: str) -> DataFrame:
     source = E.read_events(spark, f"{sf}/events.parque[t]")  # a stream reads a pattern of files
     at = f"{shared_dir(spark)}/foliant-stream-{uuid.uuid4().hex}"
     out = make(source)
-    if mode == "complete":  # only memory takes whole results; windows are few
-        name = f"stream_{uuid.uuid4().hex}"
-        q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
+    if mode == "complete":  # each batch gives the whole result anew: it replaces the one before, and the last one stays
+
+        def whole(rows: DataFrame, _: int) -> None:
+            rows.write.mode("overwrite").parquet(f"{at}/rows")
+
+        whole(spark.createDataFrame([], out.schema), -1)  # what a stream without a batch gives
+        q = out.writeStream.foreachBatch(whole).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
         q.awaitTermination()
-        return spark.table(name)
+        return spark.read.schema(out.schema).parquet(f"{at}/rows")
     q = out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/rows")
@@ -50,4 +54,4 @@ def stream_occurrence_numbers(spark, sf):
 @query("""with g as (select *, coalesce(ts >= lag(ts) over w + interval '30 minutes', true)::int as turn from events window w as (partition by user_id order by ts)), s as (select *, sum(turn) over (partition by user_id order by ts rows unbounded preceding) as k from g)
 select user_id, min(ts) as start, max(ts) + interval '30 minutes' as "end", count(*) as n from s group by user_id, k""")
 def stream_sessions(spark, sf):
-    return _ended(spark, sf, E.sessions, "complete")
+    return _ended(spark, sf, lambda e: E.sessions(e, late=None), "complete")

@@ -22,10 +22,13 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 min
     return w.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """(user_id, start, end, n) of sessions parted by gaps."""
-    s = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
-    return s.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "10 minutes") -> DataFrame:
+    """(user_id, start, end, n) of sessions parted by gaps, of which the shortest is `gap`. Events later than `late` are
+    left out; with None, none is."""
+    events = events if late is None else events.withWatermark("ts", late)
+    # Spark's windows go on over a gap of just their length
+    s = events.groupBy(F.session_window("ts", f"{gap} -1 microseconds"), "user_id").agg(F.count("*").alias("n"))
+    return s.select("user_id", F.col("session_window.start").alias("start"), (F.col("session_window.end") + F.expr("interval 1 microsecond")).alias("end"), "n")
 
 
 def occurrence_numbers(events: DataFrame, key: str = "user_id") -> DataFrame:

@@ -162,3 +162,25 @@ def test_streams(spark, tmp_path):
 
     assert sum(r["n"] for r in run(events.windowed_counts(events.read_events(spark, src)), "complete")) == n
     assert sorted(r["occurrence"] for r in run(events.occurrence_numbers(events.read_events(spark, src)), "append")) == sorted([*range(20), *range(20)])
+
+
+def test_sessions_of_several_batches_stay_off_the_driver(spark, tmp_path):
+    """The third batch has events days before the first's; a session goes on from one batch to the next, but not over a gap
+    of just 30 minutes."""
+    import os
+    from datetime import datetime, timedelta
+
+    from foliant.plans.stream_queries import stream_sessions
+
+    at = lambda minutes: datetime(2024, 1, 9) + timedelta(minutes=minutes)
+    rows = [[(1, at(0), 1), (2, at(10), 1), (3, at(60), 1), (4, at(0), 2)], [(5, at(35), 1), (7, at(30), 2)], [(6, at(-5000), 2)]]
+    (tmp_path / "events.parquet").mkdir()
+    for k, some in enumerate(rows):
+        one = spark.createDataFrame([(i, t, u, "view", 1.0, "") for i, t, u in some], "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+        one.toPandas().to_parquet(tmp_path / "events.parquet" / f"part-{k}.parquet", coerce_timestamps="us")
+        os.utime(tmp_path / "events.parquet" / f"part-{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    out = stream_sessions(spark, str(tmp_path))
+    assert "LocalRelation" not in out._jdf.queryExecution().optimizedPlan().toString() and "memory" not in out._jdf.queryExecution().analyzed().toString().lower()
+    n = sorted((r["user_id"], r["n"]) for r in out.collect())
+    assert n == [(1, 4), (2, 1), (2, 1), (2, 1)]
+    assert not [r for r in out.collect() if r["user_id"] == 1 and r["end"] - r["start"] != timedelta(minutes=90)]
