@@ -21,6 +21,10 @@ def draw64(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
+#: The most units that are sent to all tasks for replicates to look up; of more, equal draws are counted and joined.
+MOST_UNITS = 200_000
+
+
 def paired_bootstrap(deltas: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     """deltas (unit, delta_bits, events) → (replicate, delta): ratio of sums over units drawn with replacement.
     Units are numbered in parts of a hash, so no task holds them all; draws meet units by number."""
@@ -34,7 +38,11 @@ def paired_bootstrap(deltas: DataFrame, replicates: int, seed: int = 0) -> DataF
     spark = deltas.sparkSession
     reps = spark.range(replicates).select(F.col("id").alias("replicate")).join(F.broadcast(many))
     draws = reps.select("replicate", "units", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)).alias("i"))
-    drawn = draws.select("replicate", (draw(F.lit(seed), "replicate", "i") % F.col("units")).alias("number")).groupBy("replicate", "number").agg(F.count("*").alias("w"))
+    drawn = draws.select("replicate", (draw(F.lit(seed), "replicate", "i") % F.col("units")).alias("number"))
+    if deltas.limit(MOST_UNITS + 1).count() <= MOST_UNITS:
+        drawn, numbered = drawn.withColumn("w", F.lit(1)), F.broadcast(numbered)
+    else:
+        drawn = drawn.groupBy("replicate", "number").agg(F.count("*").alias("w"))
     return drawn.join(numbered, "number").groupBy("replicate").agg((F.sum(F.col("w") * F.col("delta_bits")) / F.sum(F.col("w") * F.col("events"))).alias("delta"))
 
 

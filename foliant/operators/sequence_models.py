@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def distinct_sequences(sequences: DataFrame) -> DataFrame:
     return written(own.repartition(shuffle_parts(sequences.sparkSession)), "sequences")
 
 
-def _summed(rows: DataFrame, step: Callable[[list[list[str]], np.ndarray], dict[str, np.ndarray]], shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
+def _summed(rows: DataFrame, step: Callable[[pa.Array, np.ndarray], dict[str, np.ndarray]], shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
     """The sum over tasks of the arrays that step returns for its sequences. Tasks send whole arrays, which are as
     large as the parameters, and these are added up in a tree of tasks before the driver sees one row of each."""
 
@@ -47,11 +48,11 @@ def _summed(rows: DataFrame, step: Callable[[list[list[str]], np.ndarray], dict[
         total = {k: np.zeros(s) for k, s in shapes.items()}
         for b in batches:
             if b.num_rows:
-                for k, v in step(b.column("symbols").to_pylist(), b.column("n").to_numpy()).items():
+                for k, v in step(b.column("symbols"), b.column("n").to_numpy()).items():
                     total[k] += v
         for k, v in total.items():
             at = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(at)), pa.array(at), pa.array(v.ravel()[at])], ["name", "at", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at), pa.array(v.ravel()[at])], ["name", "at", "v"])
 
     found = rows.mapInArrow(run, "name string, at long, v double").groupBy("name", "at").agg(F.sum("v").alias("v")).toPandas()
     out = {k: np.zeros(int(np.prod(s))) for k, s in shapes.items()}
@@ -60,27 +61,38 @@ def _summed(rows: DataFrame, step: Callable[[list[list[str]], np.ndarray], dict[
     return {k: v.reshape(shapes[k]) for k, v in out.items()}
 
 
-def _iterated(rows: DataFrame, model: HiddenMarkov | SlotGrammar, shapes: dict[str, tuple[int, ...]], iterations: int, least: int, tolerance: float, smoothing: float) -> list[float]:
-    """Improve the model until its bits change by less than tolerance after `least` passes, or for `iterations`; the
-    trace is of the bits before each update. What is counted last is not applied once it has converged."""
-    trace: list[float] = []
+def _iterated(rows: DataFrame, models: list[HiddenMarkov | SlotGrammar], shapes: dict[str, tuple[int, ...]], iterations: int, least: int, tolerance: float, smoothing: float) -> list[list[float]]:
+    """Improve models of the same shapes, each until its bits change by less than tolerance after `least` passes, or for
+    `iterations`; the traces are of the bits before each update. What is counted last is not applied once a model has
+    converged. All that go on share each pass."""
+    traces: list[list[float]] = [[] for _ in models]
+    going = list(range(len(models)))
     for _ in range(iterations):
-        c = _summed(rows, model._step, shapes)
-        trace.append(float(c["bits"][0] / max(1.0, c["bits"][1])))
-        if len(trace) >= max(2, least) and abs(trace[-1] - trace[-2]) < tolerance:
+        if not going:
             break
-        for k in shapes.keys() - {"bits"}:
-            setattr(model, k, (c[k] + smoothing) / (c[k] + smoothing).sum(-1, keepdims=True))
-    return trace
+
+        def step(batch: pa.Array, times: np.ndarray, own: list = [(k, models[k]) for k in going]) -> dict[str, np.ndarray]:
+            return {f"{k} {name}": v for k, m in own for name, v in m._step(batch, times).items()}
+
+        c = _summed(rows, step, {f"{k} {name}": shape for k in going for name, shape in shapes.items()})
+        for k in list(going):
+            trace, own = traces[k], {name: c[f"{k} {name}"] for name in shapes}
+            trace.append(float(own["bits"][0] / max(1.0, own["bits"][1])))
+            if len(trace) >= max(2, least) and abs(trace[-1] - trace[-2]) < tolerance:
+                going.remove(k)
+                continue
+            for name in shapes.keys() - {"bits"}:
+                setattr(models[k], name, (own[name] + smoothing) / (own[name] + smoothing).sum(-1, keepdims=True))
+    return traces
 
 
 def best_of(make: Callable[[int], HiddenMarkov | SlotGrammar], rows: DataFrame, restarts: int, **settings) -> HiddenMarkov | SlotGrammar:
     """Of models begun from `restarts` seeds, the one that training sequences are likeliest under, the first of equals.
     Held-out sequences have no part in the choice."""
     best, least = None, np.inf
-    for seed in range(restarts):
-        model = make(seed)
-        bits = model.fit(rows, **settings)[-1]
+    models = [make(seed) for seed in range(restarts)]
+    for model, trace in zip(models, type(models[0]).fit_all(models, rows, **settings)):
+        bits = trace[-1]
         if bits < least - 1e-12:
             best, least = model, bits
     return best
@@ -96,16 +108,21 @@ class HiddenMarkov:
         self.move = rng.dirichlet(np.ones(states), states)
         self.emit = rng.dirichlet(np.ones(len(symbols)), states)
 
-    def _codes(self, symbols: list[str]) -> list[int]:
-        unknown = len(self.code) - 1
-        return [self.code.get(s, unknown) for s in symbols]
-
-    def _padded(self, batch: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(codes by place and sequence, each sequence's length)."""
-        n = np.array([len(s) for s in batch])
-        codes = np.zeros((int(n.max()), len(batch)), np.int64)
-        for k, symbols in enumerate(batch):
-            codes[: len(symbols), k] = self._codes(symbols)
+    def _coded(self, batch: list[list[str]] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all sequences' codes one after the other, where each begins, its length)."""
+        batch = batch if isinstance(batch, pa.Array) else pa.array(batch, pa.list_(pa.string()))
+        flat = pc.index_in(batch.flatten(), value_set=pa.array(list(self.code), pa.string())).fill_null(len(self.code) - 1)
+        n = pc.list_value_length(batch).to_numpy(zero_copy_only=False).astype(np.int64)
+        return flat.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(n) - n, n
+
+    def _padded(self, coded: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes by place and sequence, each sequence's length) of some sequences."""
+        flat, at, n = coded
+        n = n[own]
+        place = np.arange(int(n.max()))[:, None]
+        on = place < n
+        codes = np.zeros(on.shape, np.int64)
+        codes[on] = flat[(at[own] + place)[on]]
         return codes, n
 
     def _forward(self, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,14 +138,15 @@ class HiddenMarkov:
             alpha[i] = a
         return alpha, scale
 
-    def _step(self, batch: list[list[str]], times: np.ndarray) -> dict[str, np.ndarray]:
+    def _step(self, batch: list[list[str]] | pa.Array, times: np.ndarray) -> dict[str, np.ndarray]:
         start, move, emit, bits = np.zeros_like(self.start), np.zeros_like(self.move), np.zeros_like(self.emit), np.zeros(2)
         # sequences of about one length go together, at most some million numbers at a time
-        order = sorted(range(len(batch)), key=lambda k: len(batch[k]))
-        while order:
-            size = max(1, 2_000_000 // (len(batch[order[-1]]) * len(self.start)))
+        coded = self._coded(batch)
+        order = np.argsort(coded[2], kind="stable")
+        while len(order):
+            size = max(1, 2_000_000 // (int(coded[2][order[-1]]) * len(self.start)))
             own, order = order[-size:], order[:-size]
-            codes, n = self._padded([batch[k] for k in own])
+            codes, n = self._padded(coded, own)
             w = np.asarray(times)[own].astype(float)
             alpha, scale = self._forward(codes, n)
             bits += [-(w * np.log2(scale).sum(0)).sum(), (w * n).sum()]
@@ -148,17 +166,24 @@ class HiddenMarkov:
 
     def fit(self, rows: DataFrame, iterations: int = 50, smoothing: float = PSEUDOCOUNT, least: int = 5, tolerance: float = 1e-5) -> list[float]:
         """Bits per event before each update, which never rise but for smoothing."""
-        shapes = {"start": self.start.shape, "move": self.move.shape, "emit": self.emit.shape, "bits": (2,)}
-        return _iterated(rows, self, shapes, iterations, least, tolerance, smoothing)
+        return self.fit_all([self], rows, iterations, smoothing, least, tolerance)[0]
+
+    @staticmethod
+    def fit_all(models: list[HiddenMarkov], rows: DataFrame, iterations: int = 50, smoothing: float = PSEUDOCOUNT, least: int = 5, tolerance: float = 1e-5) -> list[list[float]]:
+        """fit() of models of one size, which share each pass."""
+        m = models[0]
+        shapes = {"start": m.start.shape, "move": m.move.shape, "emit": m.emit.shape, "bits": (2,)}
+        return _iterated(rows, models, shapes, iterations, least, tolerance, smoothing)
 
     def scores(self, batch: list[list[str]]) -> np.ndarray:
         """The bits of each sequence."""
         out = np.empty(len(batch))
-        order = sorted(range(len(batch)), key=lambda k: len(batch[k]))
-        while order:
-            size = max(1, 2_000_000 // (max(1, len(batch[order[-1]])) * len(self.start)))
+        coded = self._coded(batch)
+        order = np.argsort(coded[2], kind="stable")
+        while len(order):
+            size = max(1, 2_000_000 // (max(1, int(coded[2][order[-1]])) * len(self.start)))
             own, order = order[-size:], order[:-size]
-            out[own] = -np.log2(self._forward(*self._padded([batch[k] for k in own]))[1]).sum(0)
+            out[own] = -np.log2(self._forward(*self._padded(coded, own))[1]).sum(0)
         return out
 
     def bits(self, symbols: list[str]) -> float:
@@ -202,6 +227,7 @@ class SlotGrammar:
         return np.log(self.mix) + sum(np.log(self.emit[:, s, codes[:, i]]).T for i, s in enumerate(at))
 
     def _step(self, batch: list[list[str]], times: np.ndarray) -> dict[str, np.ndarray]:
+        batch = batch.to_pylist() if isinstance(batch, pa.Array) else batch
         length, mix, emit, bits = np.zeros_like(self.length), np.zeros_like(self.mix), np.zeros_like(self.emit), np.zeros(2)
         for own, codes in _by_length(batch, self.code):
             n, w, logs = codes.shape[1], np.asarray(times)[own].astype(float), self._logs(codes)
@@ -230,7 +256,11 @@ class SlotGrammar:
         length[sizes["k"] - 1] += sizes["n"]
         self.length = length / length.sum()
         shapes = {"length": self.length.shape, "mix": self.mix.shape, "emit": self.emit.shape, "bits": (2,)}
-        return _iterated(rows, self, shapes, iterations, least, tolerance, smoothing)
+        return _iterated(rows, [self], shapes, iterations, least, tolerance, smoothing)[0]
+
+    @staticmethod
+    def fit_all(models: list[SlotGrammar], rows: DataFrame, **settings) -> list[list[float]]:
+        return [m.fit(rows, **settings) for m in models]
 
     def scores(self, batch: list[list[str]]) -> np.ndarray:
         out = np.zeros(len(batch))

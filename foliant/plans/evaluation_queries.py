@@ -182,8 +182,10 @@ def relation_bigram(spark, sf):
 def _hidden_markov(spark, sf, view: str, states: int, restarts: int) -> DataFrame:
     from foliant.operators import sequence_models as Z
 
-    train, test = halves(N.line_sequences(own_lines(spark, sf), "unit", "held", view=view))
-    model = Z.best_of(lambda seed: Z.HiddenMarkov(states, Z.vocabulary(train), seed), Z.distinct_sequences(train.select("symbols")), restarts)
+    train, test = halves(written(N.line_sequences(own_lines(spark, sf), "unit", "held", view=view), "lines"))
+    rows = Z.distinct_sequences(train.select("symbols"))
+    symbols = Z.vocabulary(rows)
+    model = Z.best_of(lambda seed: Z.HiddenMarkov(states, symbols, seed), rows, restarts)
     t = N.event_scores(train, test, 3, "unit").where("model_order = 3").select("unit", F.col("total_bits").alias("bits"), F.col("total_events").alias("events"))
     return R.relation(f"hidden_markov_{view}", Z.unit_bits(test, "unit", model).select("unit", "bits", "events"), t, REPLICATES)
 

@@ -184,3 +184,14 @@ def test_sessions_of_several_batches_stay_off_the_driver(spark, tmp_path):
     n = sorted((r["user_id"], r["n"]) for r in out.collect())
     assert n == [(1, 4), (2, 1), (2, 1), (2, 1)]
     assert not [r for r in out.collect() if r["user_id"] == 1 and r["end"] - r["start"] != timedelta(minutes=90)]
+
+
+def test_starts_share_each_pass(spark, monkeypatch):
+    from foliant.operators import sequence_models as Z
+
+    s = spark.createDataFrame([(["A", "B"] * 4,), (["C", "D", "C"],), (["B"],)], "symbols array<string>")
+    rows, v = Z.distinct_sequences(s), Z.vocabulary(s)
+    passes, summed = [], Z._summed
+    monkeypatch.setattr(Z, "_summed", lambda *a: passes.append(1) or summed(*a))
+    Z.best_of(lambda seed: Z.HiddenMarkov(2, v, seed), rows, 3, iterations=4, tolerance=0.0)
+    assert len(passes) == 4
